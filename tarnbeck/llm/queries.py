@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, quality, simhash, toxicity
+from . import ann, langid, layout, quality, simhash, toxicity
 from .tables import read
 
 
@@ -31,12 +31,17 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(read(spark, sf_dir, "documents"))
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.extract_text(read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
     "op8_toxicity": op8_toxicity,
     "op9_langid": op9_langid,
+    "op10_html": op10_html,
 }
 
 ORACLE_SQL: dict[str, str] = {}
