@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, layout, quality, simhash, toxicity
+from . import ann, langid, layout, lm, quality, simhash, toxicity
 from .tables import read
 
 
@@ -23,6 +23,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.backoff_scores(read(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -39,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
+    "op7_lm": op7_lm,
     "op8_toxicity": op8_toxicity,
     "op9_langid": op9_langid,
     "op10_html": op10_html,
