@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, layout, lm, quality, simhash, toxicity
+from . import ann, langid, layout, lines, lm, quality, simhash, toxicity
 from .tables import read
 
 
@@ -15,6 +15,15 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document: the text, its digest, and what was removed."""
+    cut = lines.dedup_lines(read(spark, sf_dir, "documents"))
+    gone = F.aggregate(
+        F.arrays_zip("removed_starts", "removed_ends"), F.lit(0), lambda n, x: n + x["removed_ends"] - x["removed_starts"]
+    )
+    return cut.select("doc_id", "text", F.md5("text").alias("digest"), gone.alias("removed_chars"), "removed_starts", "removed_ends")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -41,6 +50,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
+    "op2_lines": op2_lines,
     "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
     "op7_lm": op7_lm,
