@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbits import Texts, Words, find_words, mix, pair, text_runs
+from .textbits import Texts, Words, find_words, fold_case, mix, pair, text_runs
 
 #: A cut's hash is compared with so many words on either side; a unit has 2 * REACH + 1 words on
 #: average, and MAX_UNIT at most.
@@ -61,24 +61,12 @@ def _unit_hashes(words: Words, starts: np.ndarray) -> np.ndarray:
 def units(texts: pa.Array) -> Iterator[tuple[int, Texts, Words, np.ndarray, np.ndarray]]:
     """(first row, texts, words, unit starts, unit hashes) for runs of texts; offsets are bytes."""
     for lo, hi, raw in text_runs(texts, lower=False):
-        lower = _ascii_lower(raw)
+        lower = fold_case(raw)
         words = find_words(lower)
         starts = _unit_starts(lower, words)
         yield lo, lower, words, starts, _unit_hashes(words, starts)
 
 
-_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
-
-
-def _ascii_lower(raw: Texts) -> Texts:
-    """Lower case without changing a byte's place: A-Z, and capitals of two bytes in Latin-1."""
-    data = _LOWER[raw.data]
-    after = np.zeros(len(data), bool)
-    after[1:] = data[:-1] == 0xC3
-    data[after & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)] += 32
-    return Texts(data, raw.starts)
-
-
 def unit_table(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) to (digest, doc_id, unit): each distinct digest of a text once, at its
     first unit; repeats within a text are found again when it is cut."""

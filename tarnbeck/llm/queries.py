@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, layout, lines, lm, quality, simhash, toxicity
+from . import ann, decontaminate, langid, layout, lines, lm, quality, simhash, toxicity
 from .tables import read
 
 
@@ -24,6 +24,10 @@ def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "text", F.md5("text").alias("digest"), gone.alias("removed_chars"), "removed_starts", "removed_ends")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_copies(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_lines": op2_lines,
+    "op4_decontaminate": op4_decontaminate,
     "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
     "op7_lm": op7_lm,

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .boosting import fit_boosted, fit_isotonic
 from .fitting import fold, labelled_sample
 from .tables import stash
-from .textbits import WORD_BYTES, Texts, Words, find_words, hash_spans, text_runs
+from .textbits import WORD_BYTES, HashSet, Texts, Words, find_words, hash_spans, text_runs
 
 #: Second-person words of the four languages, and common English insults.
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros"
@@ -48,30 +48,6 @@ def stems(plain: Texts, words: Words) -> list[np.ndarray]:
     return [hash_spans(plain.data, words.start, e) for e in ends] + [words.hash]
 
 
-class HashSet:
-    """Sorted hashes; most others are ruled out by a bitmap, made where it is first needed."""
-
-    def __init__(self, hashes: np.ndarray) -> None:
-        self.table = np.sort(hashes)
-        self.seen: np.ndarray | None = None
-
-    def __getstate__(self) -> dict:
-        return {"table": self.table, "seen": None}
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Place of each hash in the table, -1 if it is not there."""
-        out = np.full(len(hashes), -1, np.int64)
-        if len(self.table):
-            low = np.uint64((1 << 22) - 1)
-            if self.seen is None:
-                self.seen = np.zeros(1 << 22, bool)
-                self.seen[self.table & low] = True
-            maybe = np.flatnonzero(self.seen[hashes & low])
-            at = np.minimum(np.searchsorted(self.table, hashes[maybe]), len(self.table) - 1)
-            out[maybe] = np.where(self.table[at] == hashes[maybe], at, -1)
-        return out
-
-
 def _hash_list(words: str) -> HashSet:
     return HashSet(np.concatenate([find_words(t).hash for _, _, t in text_runs(pa.array([words]))]))
 
