@@ -30,8 +30,8 @@ from .textbits import find_words, pair, text_runs
 
 HEAVY = 65536
 #: Bytes of text for each partition of the counts, and tokens in a run of texts.
-PARTITION_BYTES = 24 << 20
-RUN_TOKENS = 1 << 20
+PARTITION_BYTES = 8 << 20
+RUN_TOKENS = 1 << 19
 
 ROW = "part long, kind int, run long, a binary, b binary, c binary"
 COUNTED, TEXTS, VOCABULARY, MISSED, SUMS = range(5)
@@ -186,6 +186,8 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def _in_parts(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(part, rows of it in their order)."""
+    if not len(part):
+        return
     order = np.argsort(part, kind="stable")
     found, at = np.unique(part[order], return_index=True)
     for p, lo, hi in zip(found.tolist(), at.tolist(), [*at[1:].tolist(), len(order)], strict=True):
