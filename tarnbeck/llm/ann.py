@@ -126,12 +126,12 @@ def _pack(query_id: np.ndarray, loss: np.ndarray, ids: np.ndarray) -> pa.RecordB
     )
 
 
-def _merge(found: DataFrame, k: int) -> DataFrame:
-    """The k best of a query's lists; a neighbour found in several is kept once. A query has as
-    many lists as it looked at blocks, each of k entries at most."""
-    return found.groupBy("query_id").agg(
-        F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k).alias("found")
-    )
+def _merge(found: DataFrame, k: int, orderings: int = 1) -> DataFrame:
+    """The k best of a query's lists; a neighbour found in several orderings is kept once. A query
+    has as many lists as it looked at blocks, of k entries at most. A row stands once in each
+    ordering, so the first k times that many entries hold the k best."""
+    entries = F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k * orderings)
+    return found.groupBy("query_id").agg(F.slice(F.array_distinct(entries), 1, k).alias("found"))
 
 
 def brute_force(base: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int) -> DataFrame:
@@ -322,7 +322,7 @@ def nearest_neighbours(
 
     dealt = _dealt(base, fitted, cuts, used, width, dim)
     scanned = _scan_blocks(dealt.repartition("block").sortWithinPartitions("block", "kind"), dim, k + 1)
-    found = _merge(scanned, k + 1).select("query_id", F.inline("found"))
+    found = _merge(scanned, k + 1, used).select("query_id", F.inline("found"))
     members = found.join(base.select("id", "members"), "id").select(
         F.col("query_id").alias("id"), "loss", F.explode("members").alias("other")
     )
