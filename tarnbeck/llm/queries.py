@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, layout, lines, lm, quality, simhash, toxicity
+from . import ann, decontaminate, langid, layout, lines, lm, mixing, quality, simhash, toxicity
 from .tables import read
 
 
@@ -24,6 +24,13 @@ def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "text", F.md5("text").alias("digest"), gone.alias("removed_chars"), "removed_starts", "removed_ends")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    mixed = mixing.mix_sources(docs, mixing.label_domains(labels), mixing.TARGETS)
+    shares = [F.col("domain_posterior")[d].alias(f"p_{d}") for d in mixing.TARGETS]
+    return mixed.select("doc_id", "tokens", *shares, "rate", "copies")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_copies(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -55,6 +62,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_lines": op2_lines,
+    "op3_mixing": op3_mixing,
     "op4_decontaminate": op4_decontaminate,
     "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
