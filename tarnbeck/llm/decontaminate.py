@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -114,12 +115,14 @@ class Index:
     rate: float
     walks: int
     seed: int = 5
+    item_grams: list[np.ndarray] = field(init=False)
     grams: HashSet = field(init=False)
     sizes: dict[int, list[int]] = field(init=False)
     keys: dict[int, tuple[np.ndarray, np.ndarray]] = field(init=False)
 
     def __post_init__(self) -> None:
-        self.grams = HashSet(np.unique(np.concatenate([np.empty(0, np.uint64), *map(trigrams, self.words)])))
+        self.item_grams = [trigrams(w) for w in self.words]
+        self.grams = HashSet(np.unique(np.concatenate([np.empty(0, np.uint64), *self.item_grams])))
         self.sizes = {}
         for i, w in enumerate(self.words):
             step = int(math.log(len(w) / MIN_WORDS) / math.log(SIZE_STEP) + 1e-9)
@@ -191,6 +194,11 @@ def _matches(words: Words, index: Index) -> Iterator[tuple[int, int, int, int, i
         most = allowed_edits(len(own), index.rate)
         lo = max(int(words.first[row]), start - most - 4)
         hi = min(int(words.first[row + 1]), start + len(own) + most + 4)
+        shown = np.sort(trigrams(symbols[lo:hi]))
+        wanted = index.item_grams[item]
+        there = shown[np.minimum(np.searchsorted(shown, wanted), len(shown) - 1)] == wanted
+        if there.sum() < len(wanted) - 3 * most:
+            continue  # more of the item's trigrams are gone than so many edits can break
         distance, a, b = edit_distance_within(own, symbols[lo:hi], most)
         if distance <= most:
             hits.add((row, item, lo + a, lo + b, distance))
@@ -229,27 +237,12 @@ def find_copies(
     read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    size = benchmark.agg(F.sum(F.octet_length(item_text_col)).alias("n")).head()[0] or 0
-    shards = max(1, math.ceil(size / shard_bytes))
-    walks = walks_for(recall)
-
-    def search(shard: int) -> DataFrame:
-        mine = benchmark.filter(F.pmod(F.xxhash64(item_col, F.lit(1)), F.lit(shards)) == shard) if shards > 1 else benchmark
-        index = Index(*load_items(mine, item_col, item_text_col), rate, walks)
 
+    def search(index: Index) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out: list[tuple] = []
-                for lo, _, texts in text_runs(batch.column(1), lower=False):
-                    words = find_words(fold_case(texts))
-                    for row, item, a, b, distance in _matches(words, index):
-                        base = int(texts.starts[row])
-                        s, e = int(words.start[a]), int(words.end[b - 1])
-                        chars = lambda x, y: len(texts.data[x:y].tobytes().decode())
-                        first = chars(base, s)
-                        out.append(
-                            (batch.column(0)[lo + row].as_py(), index.ids[item], first, first + chars(s, e), distance, len(index.words[item]))
-                        )
+                ids = batch.column(0)
+                out = [(ids[row].as_py(), *hit) for row, *hit in _passages(batch.column(1), index)]
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
                 columns = zip(*out, strict=True) if out else [[]] * 6
                 yield pa.RecordBatch.from_arrays(
@@ -259,7 +252,43 @@ def find_copies(
 
         return rows.mapInArrow(run, "doc_id long, item_id long, start int, end int, distance int, item_words int")
 
-    out = search(0)
-    for shard in range(1, shards):
-        out = out.unionByName(search(shard))
-    return out
+    parts = [search(index) for index in _shards(benchmark, item_col, item_text_col, rate, recall, shard_bytes)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def remove_contaminated(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    rate: float = 0.2, recall: float = 0.99, shard_bytes: int = 4 << 20,
+) -> DataFrame:
+    """docs without the rows whose text holds a passage that find_copies would report; all columns
+    stay, nothing is shuffled, and rows that only share an id with such a row stay."""
+    place = docs.columns.index(text_col)
+    for index in _shards(benchmark, item_col, item_text_col, rate, recall, shard_bytes):
+
+        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                clean[[row for row, *_ in _passages(batch.column(place), index)]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
+def _shards(benchmark: DataFrame, id_col: str, text_col: str, rate: float, recall: float, most: int) -> Iterator[Index]:
+    """Indexes over the items, so many bytes of their text at a time; one at least."""
+    size = benchmark.agg(F.sum(F.octet_length(text_col)).alias("n")).head()[0] or 0
+    shards = max(1, math.ceil(size / most))
+    for shard in range(shards):
+        mine = benchmark.filter(F.pmod(F.xxhash64(id_col, F.lit(1)), F.lit(shards)) == shard) if shards > 1 else benchmark
+        yield Index(*load_items(mine, id_col, text_col), rate, walks_for(recall))
+
+
+def _passages(texts: pa.Array, index: Index) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(row, item id, start, end, distance, words of the item); offsets count characters."""
+    for lo, _, run in text_runs(texts, lower=False):
+        words = find_words(fold_case(run))
+        for row, item, a, b, distance in _matches(words, index):
+            s, e = int(words.start[a]), int(words.end[b - 1])
+            first = len(run.data[int(run.starts[row]) : s].tobytes().decode())
+            yield lo + row, index.ids[item], first, first + len(run.data[s:e].tobytes().decode()), distance, len(index.words[item])
