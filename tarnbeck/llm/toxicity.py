@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .boosting import fit_boosted, fit_isotonic
 from .fitting import fold, labelled_sample
@@ -180,8 +181,9 @@ def learn_lexicon(sample: DataFrame, least: int = 3, weight: float = 2.5, most:
 def toxicity_scores(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
     folds: int = 4, held_fold: int = 2, threshold: float = 0.3, per_class: int = 8000,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of docs.
+    """(doc_id, held_out, score, predicted) for every row of docs, and the columns in carry as they are.
 
     Fitted on about per_class labelled rows of each class at most, none of the held-out fold; each
     is described with a lexicon learnt from other rows, and a quarter only calibrates.
@@ -213,15 +215,20 @@ def toxicity_scores(
     model = fit_boosted(x[~quarter], y[~quarter])
     calibrated = fit_isotonic(model.raw(x[quarter]), y[quarter])
 
+    inner = [f"__{i}" for i in range(len(carry))]
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(i) for c, i in zip(carry, inner, strict=True))
+    )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = calibrated(model.raw(features(batch.column(1), whole)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), *batch.columns[2:]], names=["doc_id", "score", *inner])
 
-    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, score double"
-    )
+    schema = StructType([rows.schema["doc_id"], StructField("score", DoubleType()), *(rows.schema[i] for i in inner)])
+    scored = rows.mapInArrow(run, schema)
+    kept = [F.col(i).alias(c) for c, i in zip(carry, inner, strict=True) if c != "doc_id"]
     return scored.select(
         "doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score",
-        F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"),
+        F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), *kept,
     )
