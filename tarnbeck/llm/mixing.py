@@ -8,6 +8,7 @@ totals, class counts of hashed features, and a matrix of domains by domains."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -144,7 +145,7 @@ def _dot(vector: Column, weights: np.ndarray) -> Column:
     return out
 
 
-def fit_rates(mass: DataFrame, targets: np.ndarray, rounds: int = 200, tolerance: float = 1e-7) -> list[np.ndarray]:
+def fit_rates(mass: DataFrame, targets: np.ndarray, rounds: int = 200, tolerance: float = 1e-4) -> list[np.ndarray]:
     """mass (tokens long, post array<double>): the gradient steps g_1, g_2, ... after which the
     rates, from 1, are rate <- max(0, rate - post . g_i).
 
@@ -155,16 +156,18 @@ def fit_rates(mass: DataFrame, targets: np.ndarray, rounds: int = 200, tolerance
     cells = [F.sum(F.col("tokens") * F.col("post")[i] * F.col("post")[j]).alias(f"h{i}_{j}") for i in range(n) for j in range(n)]
     head = mass.agg(*cells).head()
     inverse = np.linalg.pinv(np.array([float(x or 0.0) for x in head]).reshape(n, n), rcond=1e-10, hermitian=True)
-    state, rate, steps = mass.withColumn("rate", F.lit(1.0)), F.col("rate"), []
+    state, rate, steps, last = mass.withColumn("rate", F.lit(1.0)), F.col("rate"), [], math.inf
     totals = [F.sum(F.col("tokens") * F.col("post")[k] * F.col("__now")).alias(f"t{k}") for k in range(n)]
-    for step in range(rounds):
+    for _ in range(rounds):
         now = state.select("tokens", "post", rate.alias("__now")).agg(*totals).head()
         miss = np.array([float(x or 0.0) for x in now]) - targets
         g = inverse @ miss
-        if np.abs(miss).max() <= tolerance * max(1.0, targets.sum()) or np.abs(g).max() < 1e-12:
+        misfit = float(miss @ g)
+        if np.abs(miss).max() <= tolerance * max(1.0, targets.sum()):
             break
-        if steps and np.abs(g - steps[-1]).max() < 1e-10 and step > 3:
+        if misfit > (1.0 - 1e-4) * last:
             break  # what is left cannot be reached with nonnegative rates
+        last = misfit
         steps.append(g)
         rate = F.greatest(F.lit(0.0), rate - _dot(F.col("post"), g))
         if len(steps) % STEPS_A_TABLE == 0:
@@ -220,11 +223,12 @@ def mix_sources(
     )
 
 
-def label_domains(labels: DataFrame) -> DataFrame:
-    """(doc_id, domain) of the labels table: toxic, else good or rough by quality."""
-    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "rough")
+def label_domains(labels: DataFrame, toxic: bool = True) -> DataFrame:
+    """(doc_id, domain) of the labels table: toxic, if that is a domain, else good or rough by quality."""
+    domain = F.when(F.lit(toxic) & (F.col("toxic") == 1), "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "rough")
     return labels.select("doc_id", domain.alias("domain")).filter("domain is not null")
 
 
-#: Shares of the tokens that the mix aims at.
+#: Shares of the tokens that the mix aims at; and where toxic documents are gone already.
 TARGETS = {"good": 0.85, "rough": 0.1, "toxic": 0.05}
+CLEAN_TARGETS = {"good": 0.9, "rough": 0.1}
