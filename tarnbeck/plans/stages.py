@@ -14,17 +14,21 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import StructType
 
 from tarnbeck.functions import lineage
 from tarnbeck.operators import features, labels, model, quality, silver, snapshot
 from tarnbeck.sources import files
-from tarnbeck.sources.contracts import Contract
+from tarnbeck.sources.contracts import Contract, struct_of
 from tarnbeck.sources.tables import AppendLog, VersionedTable
 
-AUDIT: StructType = _parse_datatype_string(
-    "dataset string, run_id string, status string, source_fingerprint string, source_path string, source_file_count int, "
-    "row_count long, schema_hash string, ingest_ts timestamp, bronze_path string, message string"
+AUDIT: StructType = struct_of(
+    [
+        ("dataset", "string"), ("run_id", "string"), ("status", "string"), ("source_fingerprint", "string"), ("source_path", "string"),
+        ("source_file_count", "int"), ("row_count", "long"), ("schema_hash", "string"), ("ingest_ts", "timestamp"), ("bronze_path", "string"),
+        ("message", "string"),
+    ],
+    optional=["message"],
 )
 log = logging.getLogger("tarnbeck")
 
@@ -47,8 +51,11 @@ def _stage(name: str, run_id: str, **fields: Any) -> Iterator[dict]:
 
 
 def bronze_schema(contract: Contract) -> StructType:
-    extra = _parse_datatype_string(
-        "run_id string, ingest_ts timestamp, ingest_date date, source_file string, source_fingerprint string, row_count long, schema_hash string"
+    extra = struct_of(
+        [
+            ("run_id", "string"), ("ingest_ts", "timestamp"), ("ingest_date", "date"), ("source_file", "string"),
+            ("source_fingerprint", "string"), ("row_count", "long"), ("schema_hash", "string"),
+        ]
     )
     return StructType([*contract.struct().fields, *extra.fields])
 

@@ -10,11 +10,23 @@ from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+from pyspark.sql.types import BooleanType, DataType, DateType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
 from tarnbeck.functions.lineage import columns_digest, digest
 
 
+#: Types that contracts know, by name.
+TYPES: dict[str, DataType] = {
+    "string": StringType(), "timestamp": TimestampType(), "date": DateType(), "long": LongType(), "int": IntegerType(),
+    "double": DoubleType(), "float": FloatType(), "boolean": BooleanType(),
+}
+
+
+def struct_of(columns: list[tuple[str, str]], optional: list[str] | None = None) -> StructType:
+    """Columns are nullable unless a list of the optional ones is given and lacks them."""
+    return StructType([StructField(n, TYPES[t], optional is None or n in optional) for n, t in columns])
+
+
 def _type_name(simple: str) -> str:
     return "long" if simple == "bigint" else simple
 
@@ -56,7 +68,7 @@ class Contract:
         return columns_digest(self.columns)
 
     def struct(self) -> StructType:
-        return StructType([StructField(n, _parse_datatype_string("bigint" if t == "long" else t), n in self.optional) for n, t in self.columns])
+        return struct_of(self.columns, self.optional)
 
     def check_schema(self, schema: StructType) -> None:
         """ValueError on missing columns or other types; further columns pass."""
