@@ -12,14 +12,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .textbits import Texts, Words, find_words, fold_case, mix, pair, text_runs
 
 #: A cut's hash is compared with so many words on either side; a unit has 2 * REACH + 1 words on
 #: average, and MAX_UNIT at most.
 REACH = 2
+#: Texts that are cut together.
+ROWS_AT_ONCE = 256
 MAX_UNIT = 24
 
 
@@ -29,24 +33,25 @@ def _unit_starts(texts: Texts, words: Words) -> np.ndarray:
     begin = np.zeros(n, bool)
     if not n:
         return np.empty(0, np.int64)
-    newlines = np.cumsum(texts.data == 10)
-    line = newlines[words.start]
+    newline = np.cumsum(texts.data == 10)[words.start]
     begin[0] = True
-    begin[1:] = (line[1:] != line[:-1]) | (words.row[1:] != words.row[:-1])
-    hard = np.flatnonzero(begin)
+    begin[1:] = (newline[1:] != newline[:-1]) | (words.row[1:] != words.row[:-1])
     value = mix(words.hash + np.uint64(99))
-    low = np.ones(n, bool)
-    for k in range(1, REACH + 1):
-        low[k:] &= value[k:] < value[:-k]
-        low[:-k] &= value[:-k] <= value[k:]
-    closes = np.flatnonzero(low)
+    low, line = np.ones(n, bool), np.cumsum(begin)
+    low[: min(REACH, n)] = low[max(0, n - REACH) :] = False
+    for k in range(1, min(REACH, n - 1) + 1):  # a cut has all its neighbours in the line
+        same = line[k:] == line[:-k]
+        low[k:] &= same & (value[k:] < value[:-k])
+        low[:-k] &= same & (value[:-k] <= value[k:])
+    closes = np.flatnonzero(low[:-1])
+    begin[closes + 1] = True
     starts = np.flatnonzero(begin)
     size = np.diff(np.append(starts, n))
     more = (size - 1) // MAX_UNIT
     if more.any():  # repeated words have no cut of their own
         extra = np.repeat(starts, more) + MAX_UNIT * (np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1)
         starts = np.union1d(starts, extra)
-    return np.union1d(starts, hard)
+    return starts
 
 
 def _unit_hashes(words: Words, starts: np.ndarray) -> np.ndarray:
@@ -93,7 +98,7 @@ def _spans(texts: pa.Array, seen: pa.ListArray, min_words: int) -> Iterator[list
     for lo, lower, words, starts, digest in units(texts):
         row = words.row[starts]
         part = seen.slice(lo, len(lower))
-        owner = np.repeat(np.arange(len(part)), np.diff(part.offsets.to_numpy()))
+        owner = np.repeat(np.arange(len(part)), pc.list_value_length(part).to_numpy())
         listed = np.sort(pair(owner.astype(np.uint64), part.flatten().to_numpy(zero_copy_only=False).view(np.uint64)))
         own = pair(row.astype(np.uint64), digest)
         gone = np.ones(len(own), bool)
@@ -153,18 +158,23 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     later = table.join(first.select("digest", "first"), "digest").filter("doc_id <> first")
     seen = later.groupBy("doc_id").agg(F.collect_set("digest").alias("seen"))
     whole = docs.select(rank.alias("doc_id"), F.struct("*").alias("whole")).join(seen, "doc_id", "left")
+    rows = whole.select("whole", F.col("whole").getField(text_col).alias("text"), F.coalesce("seen", F.array().cast("array<bigint>")).alias("seen"))
 
-    @F.pandas_udf("text string, starts array<int>, ends array<int>")
-    def cut(texts, digests):
-        import pandas as pd
-
-        column = pa.array(texts, pa.large_string(), from_pandas=True)
-        lists = pa.array([d if d is not None else [] for d in digests], pa.list_(pa.int64()))
-        spans = _spans(column, lists, min_words)
-        rows = [_cut(t, s) if s else (t, [], []) for t, s in zip(column.to_pylist(), spans, strict=True)]
-        return pd.DataFrame(rows, columns=["text", "starts", "ends"])
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, max(1, batch.num_rows), ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                texts = part.column(1)
+                spans = list(_spans(texts, part.column(2), min_words))
+                done = [_cut(texts[i].as_py(), s) if s else None for i, s in enumerate(spans)]
+                columns = (
+                    pa.array([t.as_py() if d is None else d[0] for t, d in zip(texts, done, strict=True)], pa.string()),
+                    *(pa.array([[] if d is None else d[k] for d in done], pa.list_(pa.int32())) for k in (1, 2)),
+                )
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["whole", "text", "starts", "ends"])
 
-    done = whole.select("whole", cut(F.col("whole").getField(text_col), F.col("seen")).alias("cut"))
-    added = {"removed_starts": F.col("cut.starts"), "removed_ends": F.col("cut.ends")}
-    kept = [F.col("whole").getField(c).alias(c) if c != text_col else F.col("cut.text").alias(c) for c in docs.columns if c not in added]
+    starts, ends = (StructField(n, ArrayType(IntegerType())) for n in ("starts", "ends"))
+    done = rows.mapInArrow(cut, StructType([rows.schema["whole"], StructField("text", StringType()), starts, ends]))
+    added = {"removed_starts": F.col("starts"), "removed_ends": F.col("ends")}
+    kept = [F.col("whole").getField(c).alias(c) if c != text_col else F.col("text").alias(c) for c in docs.columns if c not in added]
     return done.select(*kept, *(c.alias(name) for name, c in added.items()))
