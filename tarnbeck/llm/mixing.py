@@ -8,6 +8,7 @@ totals, class counts of hashed features, and a matrix of domains by domains."""
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ ENDS = 128
 BEGINNING = 5
 #: A slot counts for or against a domain only if its log ratio is so many standard errors from 0 and
 #: so large: weak ratios, as of words of a language that a domain has more of, add up over a text.
-SURE = 4.0
+SURE = 3.0
 STRONG = 1.5
 #: The most that evidence can say: naive Bayes takes words for independent and is too certain.
 MOST_EVIDENCE = 10.0
@@ -138,40 +139,58 @@ def posteriors(docs: DataFrame, text_col: str, model: Classifier) -> DataFrame:
     return shares.withColumn("__post", post).drop("__logit", "__exp")
 
 
-def _dot(vector: Column, weights: np.ndarray) -> Column:
-    out = F.lit(0.0)
-    for k, w in enumerate(weights):
-        out = out + vector[k] * F.lit(float(w))
-    return out
+def replay(post: Column, steps: list[np.ndarray], rate: Column, before: Column) -> Column:
+    """struct(rate, before) after gradient steps: each is a row of weights g and a momentum m, and
+    makes of the last two rates max(0, rate + m * (rate - before) - post . g) and rate."""
+    start = F.struct(rate.alias("rate"), before.alias("before"))
+    if not steps:
+        return start
+    rows = F.from_json(F.lit(json.dumps([[float(x) for x in s] for s in steps])), F.lit("array<array<double>>"))
+    n = len(steps[0]) - 1
 
+    def one(s: Column, g: Column) -> Column:
+        moved = s["rate"] + g[n] * (s["rate"] - s["before"])
+        for k in range(n):
+            moved = moved - post[k] * g[k]
+        return F.struct(F.greatest(F.lit(0.0), moved).alias("rate"), s["rate"].alias("before"))
 
-def fit_rates(mass: DataFrame, targets: np.ndarray, rounds: int = 200, tolerance: float = 1e-4) -> list[np.ndarray]:
-    """mass (tokens long, post array<double>): the gradient steps g_1, g_2, ... after which the
-    rates, from 1, are rate <- max(0, rate - post . g_i).
+    return F.aggregate(rows, start, one)
 
-    The misfit of the domains' totals is measured in the metric of H, the sum of tokens * post post',
-    in which the gradient's step of length 1 never overshoots; g = H^-1 (totals - targets). Every
-    STEPS_A_TABLE steps the rates go into a table, so neither plans nor lineage grow."""
+
+def fit_rates(mass: DataFrame, targets: np.ndarray, rounds: int = 150, tolerance: float = 1e-4) -> list[np.ndarray]:
+    """mass (tokens long, post array<double>): the steps that `replay` takes from rates of 1.
+
+    Projected gradients with momentum, restarted when the misfit grows. The misfit of the domains'
+    totals is measured in the metric of H, the sum of tokens * post post', in which a gradient step of
+    length 1 never overshoots: g = H^-1 (totals - targets). A round is one aggregation; every
+    STEPS_A_TABLE rounds the rates go into a table, so neither plans nor lineage grow. It ends when all
+    totals are within the tolerance, as a share of all targets, or when nothing more is gained."""
     n = len(targets)
     cells = [F.sum(F.col("tokens") * F.col("post")[i] * F.col("post")[j]).alias(f"h{i}_{j}") for i in range(n) for j in range(n)]
     head = mass.agg(*cells).head()
     inverse = np.linalg.pinv(np.array([float(x or 0.0) for x in head]).reshape(n, n), rcond=1e-10, hermitian=True)
-    state, rate, steps, last = mass.withColumn("rate", F.lit(1.0)), F.col("rate"), [], math.inf
-    totals = [F.sum(F.col("tokens") * F.col("post")[k] * F.col("__now")).alias(f"t{k}") for k in range(n)]
+    state = mass.select("tokens", "post", F.lit(1.0).alias("rate"), F.lit(1.0).alias("before"))
+    steps: list[np.ndarray] = []
+    kept, last, t, misfits = 0, None, 1.0, []
+    totals = [F.sum(F.col("tokens") * F.col("post")[k] * F.col("now.rate")).alias(f"t{k}") for k in range(n)]
     for _ in range(rounds):
-        now = state.select("tokens", "post", rate.alias("__now")).agg(*totals).head()
-        miss = np.array([float(x or 0.0) for x in now]) - targets
-        g = inverse @ miss
-        misfit = float(miss @ g)
-        if np.abs(miss).max() <= tolerance * max(1.0, targets.sum()):
+        now = state.select("tokens", "post", replay(F.col("post"), steps[kept:], F.col("rate"), F.col("before")).alias("now"))
+        total = np.array([float(x or 0.0) for x in now.agg(*totals).head()])
+        miss = total - targets
+        misfits.append(float(miss @ inverse @ miss))
+        stuck = len(misfits) > 20 and misfits[-1] > 0.99 * misfits[-21]
+        if np.abs(miss).max() <= tolerance * max(1.0, targets.sum()) or stuck:
             break
-        if misfit > (1.0 - 1e-4) * last:
-            break  # what is left cannot be reached with nonnegative rates
-        last = misfit
-        steps.append(g)
-        rate = F.greatest(F.lit(0.0), rate - _dot(F.col("post"), g))
-        if len(steps) % STEPS_A_TABLE == 0:
-            state, rate = stash(state.select("tokens", "post", rate.alias("rate")), "rates"), F.col("rate")
+        if len(misfits) > 1 and misfits[-1] > misfits[-2]:
+            t = 1.0
+        after = (1.0 + math.sqrt(1.0 + 4.0 * t * t)) / 2.0
+        momentum = (t - 1.0) / after if last is not None else 0.0
+        ahead = total + momentum * (total - last) if last is not None else total
+        steps.append(np.append(inverse @ (ahead - targets), momentum))
+        last, t = total, after
+        if len(steps) - kept == STEPS_A_TABLE:
+            done = replay(F.col("post"), steps[kept:], F.col("rate"), F.col("before"))
+            state, kept = stash(state.select("tokens", "post", done.alias("now")).select("tokens", "post", "now.*"), "rates"), len(steps)
     return steps
 
 
@@ -210,11 +229,7 @@ def mix_sources(
     goal = np.array([max(0.0, float(targets.get(d, 0.0))) for d in domains])
     total = total_tokens if total_tokens is not None else float(scored.agg(F.sum("tokens")).head()[0] or 0)
     steps = fit_rates(scored.select("tokens", "post"), goal / max(1e-300, sum(max(0.0, float(v)) for v in targets.values())) * total)
-    rate = F.aggregate(
-        F.lit([[float(x) for x in g] for g in steps]) if steps else F.array().cast("array<array<double>>"),
-        F.lit(1.0),
-        lambda r, g: F.greatest(F.lit(0.0), r - sum((F.col("post")[k] * g[k] for k in range(len(domains))), F.lit(0.0))),
-    )
+    rate = replay(F.col("post"), steps, F.lit(1.0), F.lit(1.0))["rate"]
     done = scored.select("*", rate.alias("rate"))
     chance = F.pmod(F.col("lot"), F.lit(1 << 30)) / float(1 << 30)
     return done.select(
