@@ -75,7 +75,8 @@ class VersionedTable:
         """Write df as new part folders: {part: folder}."""
         version = f"v-{uuid.uuid4().hex}"
         placed = df.withColumn(PART, self._part_of())
-        placed.repartition(PART).write.partitionBy(PART).parquet(f"{self.path}/{version}")
+        # one task for a small part, as many as its size asks for of a large one
+        placed.hint("rebalance", PART).write.partitionBy(PART).parquet(f"{self.path}/{version}")
         found = self.spark.read.parquet(f"{self.path}/{version}").select(F.col(PART).cast("string")).distinct()
         return {r[0]: f"{version}/{PART}={r[0]}" for r in found.collect()}
 
