@@ -31,7 +31,7 @@ def parser() -> argparse.ArgumentParser:
     stage("snapshot", "gold_path", "labels_path", "training_snapshot_path", metadata_path=None, as_of_start_date=None, as_of_end_date=None)
     stage(
         "train", "training_snapshot_path", "out_model_path", "out_model_meta", feature_contract=None, evaluation_summary_path=None,
-        approved_model_version_path=None, feature_schema_info_path=None, model_name="ecomm-churn", validation_fraction=0.2,
+        approved_model_version_path=None, feature_schema_info_path=None, model_name="churn", validation_fraction=0.2,
         random_state=42, data_snapshot_id=None, run_log_path=None,
     )
     stage("latest", "gold_path", "latest_features_path", manifest_path=None)

@@ -215,7 +215,7 @@ def build_training_snapshot(
 
 
 def train(
-    spark: SparkSession, snapshot_path: str, model_path: str, meta_path: str, run_id: str, name: str = "ecomm-churn", fraction: float = 0.2,
+    spark: SparkSession, snapshot_path: str, model_path: str, meta_path: str, run_id: str, name: str = "churn", fraction: float = 0.2,
     seed: int = 42, contract: Contract | None = None, summary_path: str | None = None, approved_path: str | None = None,
     schema_info_path: str | None = None, data_snapshot: str | None = None, run_log_path: str | None = None,
 ) -> dict[str, Any]:
