@@ -147,11 +147,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Every unit of every text is compared, in whole texts; the earliest is the one of the smallest
     id, and in a text the first. Rows with one id are one document: a unit of one isn't removed
-    from another. Null texts stay null, empty ones empty; a null id sorts last, after all ids.
+    from another. Null texts stay null, empty ones empty. Rows without an id come after all ids, in
+    the order of a hash of their text; those of one text are one document.
     Copies of a whole text keep their row, with what is left of it. An empty table gives no rows.
     Other columns stay as they are; columns with the names of the two added ones are replaced.
     """
-    rank = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
+    nameless = F.lit(1 << 62) + F.pmod(F.xxhash64(F.col(text_col)), F.lit(1 << 62))
+    rank = F.coalesce(F.col(id_col).cast("long"), nameless)
     plain = docs.select(rank.alias("doc_id"), F.col(text_col).alias("text"))
     table = unit_table(plain.filter("text is not null and text <> ''"))
     first = table.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last")
