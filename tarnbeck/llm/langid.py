@@ -13,17 +13,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fitting import fold, sample_by_class
-from .textbits import Texts, mix, text_runs
+from .textbits import Kept, Texts, mix, text_runs
 
 SLOTS = 1 << 15
 ORDERS = 3
-_letters: list[np.ndarray] = []
+_tables = Kept()
 
 
 def _is_letter() -> np.ndarray:
-    if not _letters:
-        _letters.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
-    return _letters[0]
+    if "letters" not in _tables:
+        _tables["letters"] = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+    return _tables["letters"]
 
 
 def grams(run: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -11,7 +11,16 @@ import pyarrow.compute as pc
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+
+
+class Kept(dict):
+    """A cache of one process: what is shipped to executors is an empty one."""
+
+    def __reduce__(self) -> tuple:
+        return Kept, ()
+
+
+_powers = Kept()
 
 
 def _power_table(base: int, n: int) -> np.ndarray:
@@ -68,20 +77,21 @@ def text_runs(texts: pa.Array, lower: bool = True, most: int = 1 << 20) -> Itera
     many bytes; a longer text is a run of its own, and is whole."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string()).fill_null("")
-    if lower:
-        texts = pc.utf8_lower(texts)
-    size = pc.binary_length(texts).to_numpy().astype(np.int64) + 1
-    total = np.cumsum(size)
+    if pa.types.is_null(texts.type):
+        texts = texts.cast(pa.string())
+    total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
     lo = 0
     while lo < len(texts):
-        before = total[lo] - size[lo]
+        before = total[lo - 1] if lo else 0
         hi = max(lo + 1, int(np.searchsorted(total, before + most, side="right")))
-        part = texts.slice(lo, hi - lo)
+        part = texts.slice(lo, hi - lo).cast(pa.large_string()).fill_null("")
+        if lower:
+            part = pc.utf8_lower(part)
+        size = pc.binary_length(part).to_numpy().astype(np.int64) + 1
         lists = pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), part)
         joined = pc.binary_join(lists, pa.scalar("\n", pa.large_string()))[0].as_buffer()
         data = np.concatenate([np.frombuffer(joined, np.uint8), np.array([10], np.uint8)])
-        yield lo, hi, Texts(data, np.concatenate(([0], total[lo:hi] - before)))
+        yield lo, hi, Texts(data, np.concatenate(([0], np.cumsum(size))))
         lo = hi
 
 

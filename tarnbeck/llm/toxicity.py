@@ -133,9 +133,9 @@ def learn_lexicon(sample: DataFrame, least: int = 3, weight: float = 2.5, most:
     def run(batches: Iterator[pa.RecordBatch], only: HashSet | None = None) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             part = batch.column(1).to_numpy().astype(np.int64)
-            found = []
             for lo, _, texts in text_runs(batch.column(0)):
                 plain, words = _plain_words(texts)
+                found = []
                 for h in stems(plain, words):
                     row = words.row
                     if only is not None:
@@ -144,11 +144,11 @@ def learn_lexicon(sample: DataFrame, least: int = 3, weight: float = 2.5, most:
                     pairs = np.empty(len(h), [("h", np.uint64), ("row", np.int64)])
                     pairs["h"], pairs["row"] = h, row + lo
                     found.append(pairs)
-            pairs = np.unique(np.concatenate(found)) if found else np.empty(0, [("h", np.uint64), ("row", np.int64)])
-            owner = part[pairs["row"]]
-            stem, at = np.unique(pairs["h"], return_inverse=True)
-            n = [pa.array(np.bincount(at[owner == k], minlength=len(stem))) for k in range(PARTS)]
-            yield pa.RecordBatch.from_arrays([pa.array(stem.view(np.int64)), *n], names=["stem", *columns])
+                pairs = np.unique(np.concatenate(found))
+                owner = part[pairs["row"]]
+                stem, at = np.unique(pairs["h"], return_inverse=True)
+                n = [pa.array(np.bincount(at[owner == k], minlength=len(stem))) for k in range(PARTS)]
+                yield pa.RecordBatch.from_arrays([pa.array(stem.view(np.int64)), *n], names=["stem", *columns])
 
     def counted(y: int, only: HashSet | None) -> DataFrame:
         rows = sample.filter(F.col("y") == y).select("text", "part")
@@ -186,7 +186,8 @@ def toxicity_scores(
     """(doc_id, held_out, score, predicted) for every row of docs, and the columns in carry as they are.
 
     Fitted on about per_class labelled rows of each class at most, none of the held-out fold; each
-    is described with a lexicon learnt from other rows, and a quarter only calibrates.
+    is described with a lexicon learnt from other rows, and scores are calibrated on trees that haven't
+    seen the row.
     Null and empty texts have zero features and are scored like any. A null id is not held out and
     has no label. Without labels every score is 0.5, with labels of one class near that class. An
     empty docs table gives no rows; repeated rows each keep their row. Other columns are not read.
@@ -211,9 +212,12 @@ def toxicity_scores(
     table = sample.select("doc_id", "y", "part", "text").mapInArrow(describe, "doc_id long, y int, x array<double>").toArrow().sort_by("doc_id")
     y = table["y"].to_numpy().astype(float)
     x = np.array(table["x"].to_pylist(), float).reshape(len(y), FEATURES)
-    quarter = np.random.default_rng(23).permutation(len(y)) % 4 == 0
-    model = fit_boosted(x[~quarter], y[~quarter])
-    calibrated = fit_isotonic(model.raw(x[quarter]), y[quarter])
+    quarter = np.random.default_rng(23).permutation(len(y)) % 4
+    unseen = np.zeros(len(y))
+    for q in range(4):
+        unseen[quarter == q] = fit_boosted(x[quarter != q], y[quarter != q]).raw(x[quarter == q])
+    model = fit_boosted(x, y)
+    calibrated = fit_isotonic(unseen, y)
 
     inner = [f"__{i}" for i in range(len(carry))]
     rows = docs.select(
