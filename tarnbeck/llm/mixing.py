@@ -83,9 +83,12 @@ def learn_domains(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: s
         single = coded.select("domain", "codes", *sketch).groupBy("domain", "m0", "m1").agg(F.min("codes").alias("codes"))
         codes = single.select("domain", F.explode("codes").alias("code"))
         halves = F.array(F.floor(F.col("code") / ENDS).cast("int"), (F.col("code") % ENDS - ENDS).cast("int"))
-        for r in codes.groupBy("domain", "code").count().select("domain", "count", F.explode(halves).alias("slot")).groupBy("domain", "slot").agg(F.sum("count").alias("n")).collect():
-            table, slot = (starts, r["slot"]) if r["slot"] >= 0 else (ends, r["slot"] + ENDS)
-            table[domains.index(r["domain"]), slot] += r["n"]
+        counts = codes.groupBy("domain", "code").count().select("domain", "count", F.explode(halves).alias("slot"))
+        table = counts.groupBy("domain", "slot").agg(F.sum("count").alias("n")).toArrow()
+        own = np.array([domains.index(d) for d in table["domain"].to_pylist()], np.int64)
+        slot, n = table["slot"].to_numpy(), table["n"].to_numpy()
+        starts[own[slot >= 0], slot[slot >= 0]] += n[slot >= 0]
+        ends[own[slot < 0], slot[slot < 0] + ENDS] += n[slot < 0]
     tables = [_log_ratios(t) if domains else t for t in (starts, ends)]
     tables[1][:, [chr(c).isalnum() or c == ENDS - 1 for c in range(ENDS)]] = 0.0
     silent = np.zeros(len(domains))

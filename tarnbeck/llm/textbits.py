@@ -27,7 +27,7 @@ def _power_table(base: int, n: int) -> np.ndarray:
     """base ** i modulo 2 ** 64 for i < n at least; kept, and made anew only when it grows."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 20), base, np.uint64)
+        steps = np.full(max(n, 1 << 19), base, np.uint64)
         steps[0] = 1
         have = _powers[base] = np.cumprod(steps)
     return have
@@ -72,7 +72,7 @@ class Words:
     first: np.ndarray
 
 
-def text_runs(texts: pa.Array, lower: bool = True, most: int = 1 << 20) -> Iterator[tuple[int, int, Texts]]:
+def text_runs(texts: pa.Array, lower: bool = True, most: int = 1 << 19) -> Iterator[tuple[int, int, Texts]]:
     """(from row, to row, Texts) over all of a string column, null as empty, in runs of about so
     many bytes; a longer text is a run of its own, and is whole."""
     if isinstance(texts, pa.ChunkedArray):
