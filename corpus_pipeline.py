@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarnbeck.llm import decontaminate, lines, mixing, simhash, toxicity
-from tarnbeck.llm.tables import read, stash
+from tarnbeck.llm.tables import read, small_batches, stash
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -33,6 +33,7 @@ def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     found = simhash.near_duplicates(docs)
     kept = found.filter("component_id = doc_id").select("doc_id").distinct()
     nameless = docs.filter("doc_id is null")  # exact repeats of such rows are the copies that can be told
@@ -42,6 +43,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     cut = lines.dedup_lines(docs)
     n_chars = F.when(F.size("removed_starts") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cut.select("doc_id", "text", "lang", "source", n_chars.alias("n_chars"))
