@@ -87,7 +87,8 @@ def fit_logistic(train: DataFrame, features: tuple[str, ...] = FEATURES, c: floa
     beta = np.zeros(n)
     try:
         for _ in range(rounds):
-            z = sum((F.col(f"x{i}") * F.lit(float(b)) for i, b in enumerate(beta)), F.lit(0.0))
+            now = F.lit(beta)  # an array is data to generated code, so that rounds share it; numbers would be part of it
+            z = sum((F.col(f"x{i}") * now[i] for i in range(n)), F.lit(0.0))
             p = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
             scored = rows.withColumns({"r": F.col("w") * (p - F.col("y")), "h": F.col("w") * p * (F.lit(1.0) - p)})
             cells = [F.sum(F.col("r") * F.col(f"x{i}")).alias(f"g{i}") for i in range(n)]

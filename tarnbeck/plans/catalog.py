@@ -325,9 +325,13 @@ def batch_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def train_logreg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fitted weights and the measures on the last day; the tests hold them against numpy."""
-    rows = model.with_split(_training(spark, sf_dir), 0.34)
-    fitted = model.fit_logistic(rows.filter("split = 'train'"))
-    measured = model.ranking_metrics(rows.filter("split = 'validation'").withColumn("score", fitted.probability())).head().asDict()
+    base = _training(spark, sf_dir).persist()
+    try:
+        rows = model.with_split(base, 0.34)
+        fitted = model.fit_logistic(rows.filter("split = 'train'"))
+        measured = model.ranking_metrics(rows.filter("split = 'validation'").withColumn("score", fitted.probability())).head().asDict()
+    finally:
+        base.unpersist()
     named = {"intercept": fitted.weights[0]} | dict(zip((f"w_{f}" for f in fitted.features), fitted.weights[1:], strict=True)) | measured
     return spark.createDataFrame([(k, float(v)) for k, v in named.items()], "name string, value double")
 
