@@ -34,6 +34,8 @@ KEYS_PER_WALK = 4
 #: Share of coordinates that still agree at the largest edit rate allowed (a fifth), measured.
 LEAST_AGREEMENT = 0.45
 WINDOWS_AT_ONCE = 4096
+#: Bytes of text searched together: the more, the fewer rounds of small steps over few windows.
+RUN_BYTES = 2 << 20
 
 
 def allowed_edits(words: int, rate: float) -> int:
@@ -286,7 +288,7 @@ def _shards(benchmark: DataFrame, id_col: str, text_col: str, rate: float, recal
 
 def _passages(texts: pa.Array, index: Index) -> Iterator[tuple[int, int, int, int, int, int]]:
     """(row, item id, start, end, distance, words of the item); offsets count characters."""
-    for lo, _, run in text_runs(texts, lower=False):
+    for lo, _, run in text_runs(texts, lower=False, most=RUN_BYTES):
         words = find_words(fold_case(run))
         for row, item, a, b, distance in _matches(words, index):
             s, e = int(words.start[a]), int(words.end[b - 1])
