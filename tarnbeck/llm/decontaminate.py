@@ -8,7 +8,7 @@ largest edit distance allowed. Candidates are verified by exact word edit distan
 
 Windows are as long as the items they are compared with. Walks are spent only on windows that could
 hold an item: k edits leave at least L - 2 - 3k of an item's L - 2 word trigrams intact, so a window
-that shows fewer trigrams of the benchmark than that holds no item within k edits."""
+that shows fewer trigrams of the items of its size than that holds no item within k edits."""
 
 from __future__ import annotations
 
@@ -119,6 +119,7 @@ class Index:
     seed: int = 5
     item_grams: list[np.ndarray] = field(init=False)
     grams: HashSet = field(init=False)
+    grams_of: dict[int, np.ndarray] = field(init=False)
     sizes: dict[int, list[int]] = field(init=False)
     keys: dict[int, tuple[np.ndarray, np.ndarray]] = field(init=False)
 
@@ -130,8 +131,10 @@ class Index:
             step = int(math.log(len(w) / MIN_WORDS) / math.log(SIZE_STEP) + 1e-9)
             size = min(len(w), math.ceil(MIN_WORDS * SIZE_STEP**step))
             self.sizes.setdefault(size, []).append(i)
-        self.keys = {}
+        self.keys, self.grams_of = {}, {}
         for size, items in self.sizes.items():
+            self.grams_of[size] = np.zeros(len(self.grams.table), bool)
+            self.grams_of[size][self.grams.find(np.concatenate([self.item_grams[i] for i in items]))] = True
             symbols = np.concatenate([self.words[i] for i in items])
             ends = np.cumsum([len(self.words[i]) for i in items])
             starts = ends - [len(self.words[i]) for i in items]
@@ -142,21 +145,12 @@ class Index:
 
 
 def _candidate_windows(grams: np.ndarray, doc_end: np.ndarray, size: int, least: int) -> np.ndarray:
-    """Starts of windows of so many words that show at least `least` trigrams of the benchmark.
-    grams counts them cumulatively; where neighbours show as many, every fourth is taken (walks bear
-    with small shifts), and all that show more than their neighbours."""
-    n = len(doc_end)
-    start = np.arange(n)
+    """Starts of all windows of so many words that show at least `least` trigrams of the items
+    of their size; grams counts them cumulatively. Windows that show fewer than their neighbours count as well: an
+    item whose edits stand together at its head has its own window at the foot of a slope."""
+    start = np.arange(len(doc_end))
     stop = np.minimum(start + size, doc_end)
-    shown = grams[np.maximum(stop - 2, start)] - grams[start]
-    here = np.flatnonzero(shown >= least)
-    if not len(here):
-        return here
-    before = np.where(here > 0, shown[here - 1], -1)
-    after = np.where(here + 1 < n, shown[np.minimum(here + 1, n - 1)], -1)
-    peak = (shown[here] >= before) & (shown[here] >= after)
-    edge = (shown[here] > before) | (shown[here] > after) | (here % 4 == 0)
-    return here[peak & edge]
+    return np.flatnonzero(grams[np.maximum(stop - 2, start)] - grams[start] >= least)
 
 
 def _matches(words: Words, index: Index) -> Iterator[tuple[int, int, int, int, int]]:
@@ -164,27 +158,27 @@ def _matches(words: Words, index: Index) -> Iterator[tuple[int, int, int, int, i
     symbols = words.hash
     if len(symbols) < MIN_WORDS or not index.ids:
         return
-    inside = index.grams.find(trigrams(symbols)) >= 0
-    inside &= words.row[2:] == words.row[:-2]
-    if not inside.any():
+    place = index.grams.find(trigrams(symbols))
+    at = np.flatnonzero((place >= 0) & (words.row[2:] == words.row[:-2]))
+    if not len(at):
         return
-    grams = np.concatenate(([0], np.cumsum(inside), np.full(2, 0)))
-    grams[-2:] = grams[-3]
-    # only texts with a trigram of the benchmark go on
+    place = place[at]
     doc_end = words.first[words.row + 1]
     found: set[tuple[int, int, int]] = set()
     for size, (keys, owner) in index.keys.items():
         items = index.sizes[size]
         least = max(1, min(size - 2 - 3 * allowed_edits(len(index.words[i]), index.rate) for i in items))
-        windows = _candidate_windows(grams, doc_end, size, least)
+        inside = np.zeros(len(symbols) + 1, np.int64)
+        inside[at[index.grams_of[size][place]] + 1] = 1
+        windows = _candidate_windows(np.cumsum(inside), doc_end, size, least)
         for lo in range(0, len(windows), WINDOWS_AT_ONCE):
             start = windows[lo : lo + WINDOWS_AT_ONCE]
             mine = walk_keys(symbols, start, size, doc_end[start], index.walks, index.seed)
             left = np.searchsorted(keys, mine.ravel(), side="left")
             count = np.searchsorted(keys, mine.ravel(), side="right") - left
             window = np.repeat(np.repeat(start, mine.shape[1]), count)
-            place = np.repeat(left - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            pairs = np.unique(np.stack([window, owner[place]]), axis=1)
+            met = np.repeat(left - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            pairs = np.unique(np.stack([window, owner[met]]), axis=1)
             found.update((i, s, size) for s, i in pairs.T.tolist())
     done: dict[tuple[int, int], int] = {}
     hits: set[tuple[int, int, int, int, int]] = set()
@@ -202,6 +196,13 @@ def _matches(words: Words, index: Index) -> Iterator[tuple[int, int, int, int, i
         if there.sum() < len(wanted) - 3 * most:
             continue  # more of the item's trigrams are gone than so many edits can break
         distance, a, b = edit_distance_within(own, symbols[lo:hi], most)
+        while 0 < distance <= most:  # a window before or after the copy may show only part of it
+            low = max(int(words.first[row]), lo + a - most - 4)
+            high = min(int(words.first[row + 1]), lo + a + len(own) + most + 4)
+            nearer, c, d = edit_distance_within(own, symbols[low:high], most)
+            if nearer >= distance:
+                break
+            lo, distance, a, b = low, nearer, c, d
         if distance <= most:
             hits.add((row, item, lo + a, lo + b, distance))
             done[row, item] = lo + b

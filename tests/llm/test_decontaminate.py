@@ -104,3 +104,21 @@ def test_walks_meet_at_the_largest_distance(size, rate):
         keys = dc.walk_keys(pad, np.array([0, len(a)]), size, np.array([len(a), len(pad)]), dc.walks_for(0.99), 5)
         met += bool((keys[0] == keys[1]).any())
     assert met >= 58
+
+
+@pytest.mark.parametrize("kind", ["head", "tail", "dropped head"])
+def test_edits_that_stand_together(spark, kind):
+    rng = random.Random(7)
+    items = [[f"{rng.getrandbits(40):x}" for _ in range(n)] for n in (60, 71, 84, 107, 123, 160, 200, 250) for _ in range(5)]
+    docs = []
+    for d, item in enumerate(items):
+        k = dc.allowed_edits(len(item), 0.2)
+        new = [f"{rng.getrandbits(40):x}" for _ in range(k)]
+        changed = {"head": new + item[k:], "tail": item[:-k] + new, "dropped head": item[k:]}[kind]
+        host = [f"{rng.getrandbits(40):x}" for _ in range(80)]
+        docs.append((d, " ".join(host[:40] + changed + host[40:]), "x", 1))
+    bench = spark.createDataFrame([(i, " ".join(item), "y") for i, item in enumerate(items)], ITEMS)
+    found = dc.find_copies(spark.createDataFrame(docs, DOCS), bench).collect()
+    got = {(r.doc_id, r.item_id) for r in found}
+    assert got <= {(d, d) for d in range(len(items))} and len(got) >= 0.97 * len(items)
+    assert all(r.distance == nearest(items[r.item_id], docs[r.doc_id][1].split()) for r in found)
