@@ -2,9 +2,10 @@
 
 A text is cut into lines, and a line further after words whose hash is the smallest of its
 neighbourhood, so that a passage copied into the middle of a line falls into the same units
-wherever it stands. Units are normalised (lower case, words only) and hashed; of equal units the one that comes
-first, by document id and place, is kept. Where units that came before follow each other and have
-min_words words together, they are removed; the spans keep their offsets in the original text."""
+wherever it stands. Units are normalised (lower case, words only) and hashed. What is compared are pieces:
+the shortest runs of units that have min_words words, from each unit on and up to each unit, and whole
+lines that are shorter. Of equal pieces the one that comes first, by document id and place, is kept, and
+the others are removed; the spans keep their offsets in the original text."""
 
 from __future__ import annotations
 
@@ -72,16 +73,50 @@ def units(texts: pa.Array) -> Iterator[tuple[int, Texts, Words, np.ndarray, np.n
         yield lo, lower, words, starts, _unit_hashes(words, starts)
 
 
-def unit_table(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) to (digest, doc_id, unit): each distinct digest of a text once, at its
-    first unit; repeats within a text are found again when it is cut."""
+def _pieces(
+    texts: Texts, words: Words, starts: np.ndarray, digest: np.ndarray, min_words: int, min_line: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first unit, last unit, hash) of the pieces in order of place: runs of units of a text with
+    min_words words that are as short as can be from their first unit on or up to their last, so that
+    any longer run is covered by those within it; and lines of min_line to min_words - 1 words."""
+    n = len(starts)
+    if not n:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    ends, place, row = np.append(starts[1:], len(words.hash)), np.arange(n), words.row[starts]
+    to = np.searchsorted(ends, starts + min_words)
+    since = np.searchsorted(starts, ends - min_words, side="right") - 1
+    a, b = np.concatenate([place, since]), np.concatenate([to, place])
+    within = (a >= 0) & (b < n)
+    a, b = a[within], b[within]
+    same = row[a] == row[b]
+    key = np.unique(a[same] * (min_words + 1) + b[same] - a[same])
+    a, b = key // (min_words + 1), key // (min_words + 1) + key % (min_words + 1)
+    newline = np.cumsum(texts.data == 10)[words.start]
+    head = np.flatnonzero(np.concatenate(([True], newline[1:] != newline[:-1])))
+    tail = np.append(head[1:], len(words.hash))
+    short = (tail - head >= min_line) & (tail - head < min_words)
+    a = np.concatenate([a, np.searchsorted(starts, head[short])])
+    b = np.concatenate([b, np.searchsorted(starts, tail[short]) - 1])
+    hashed = digest[a]
+    for k in range(1, int((b - a).max(initial=0)) + 1):
+        on = np.flatnonzero(a + k <= b)
+        hashed[on] = pair(hashed[on], digest[a[on] + k])
+    hashed[len(key) :] = mix(hashed[len(key) :] + np.uint64(7))  # a line isn't a part of one
+    order = np.argsort(a, kind="stable")
+    return a[order], b[order], hashed[order]
+
+
+def piece_table(docs: DataFrame, min_words: int, min_line: int) -> DataFrame:
+    """docs (doc_id, text) to (digest, doc_id): each distinct digest of a text's pieces once;
+    repeats within a text are found again when it is cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for lo, texts, words, starts, digest in units(batch.column(1)):
-                row = words.row[starts]
-                order = np.lexsort((starts, digest, row))
+            for lo, texts, words, starts, unit in units(batch.column(1)):
+                first, _, digest = _pieces(texts, words, starts, unit, min_words, min_line)
+                row = words.row[starts[first]]
+                order = np.lexsort((digest, row))
                 new = np.ones(len(order), bool)
                 new[1:] = (digest[order][1:] != digest[order][:-1]) | (row[order][1:] != row[order][:-1])
                 keep = order[new]
@@ -92,29 +127,32 @@ def unit_table(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "digest long, doc_id long")
 
 
-def _spans(texts: pa.Array, seen: pa.ListArray, min_words: int) -> Iterator[list[tuple[int, int]]]:
-    """For each text, the byte spans to remove: units whose digest is in its list `seen` or came
-    before in the text, in stretches of min_words words at least, from first word to last."""
-    for lo, lower, words, starts, digest in units(texts):
+def _spans(texts: pa.Array, seen: pa.ListArray, min_words: int, min_line: int) -> Iterator[list[tuple[int, int]]]:
+    """For each text, the byte spans to remove: pieces whose digest is in its list `seen` or came
+    before in the text, joined where they meet, from first word to last."""
+    for lo, lower, words, starts, unit in units(texts):
+        first, last, digest = _pieces(lower, words, starts, unit, min_words, min_line)
         row = words.row[starts]
         part = seen.slice(lo, len(lower))
         owner = np.repeat(np.arange(len(part)), pc.list_value_length(part).to_numpy())
         listed = np.sort(pair(owner.astype(np.uint64), part.flatten().to_numpy(zero_copy_only=False).view(np.uint64)))
-        own = pair(row.astype(np.uint64), digest)
-        gone = np.ones(len(own), bool)
-        gone[np.unique(own, return_index=True)[1]] = False
+        own = pair(row[first].astype(np.uint64), digest)
+        again = np.ones(len(own), bool)
+        again[np.unique(own, return_index=True)[1]] = False
         if len(listed):
-            gone |= listed[np.minimum(np.searchsorted(listed, own), len(listed) - 1)] == own
-        turn = np.ones(len(own), bool)
+            again |= listed[np.minimum(np.searchsorted(listed, own), len(listed) - 1)] == own
+        cover = np.bincount(first[again], minlength=len(starts) + 1) - np.bincount(last[again] + 1, minlength=len(starts) + 1)
+        gone = np.cumsum(cover)[:-1] > 0
+        turn = np.ones(len(starts), bool)
         turn[1:] = (gone[1:] != gone[:-1]) | (row[1:] != row[:-1])
         head = np.flatnonzero(turn)
-        tail = np.append(head[1:], len(own))
-        first = starts[head]
-        last = np.append(starts, len(words.hash))[tail] - 1
-        take = gone[head] & (last - first + 1 >= min_words)
+        tail = np.append(head[1:], len(starts))
+        begin = starts[head]
+        end = np.append(starts, len(words.hash))[tail] - 1
+        take = gone[head]
         base = lower.starts[row[head[take]]]
         out: list[list[tuple[int, int]]] = [[] for _ in range(len(lower))]
-        spans = zip(row[head[take]], words.start[first[take]] - base, words.end[last[take]] - base, strict=True)
+        spans = zip(row[head[take]], words.start[begin[take]] - base, words.end[end[take]] - base, strict=True)
         for r, s, e in spans:
             out[r].append((int(s), int(e)))
         yield from out
@@ -141,13 +179,14 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[int], list[
     return b"".join(kept).decode(), starts, ends
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8, min_line: int = 8) -> DataFrame:
     """docs with text_col cut, and two columns: removed_starts and removed_ends, character offsets
     of what was removed, in the original text (empty if nothing was).
 
-    Every unit of every text is compared, in whole texts; the earliest is the one of the smallest
-    id, and in a text the first. Rows with one id are one document: a unit of one isn't removed
-    from another. Null texts stay null, empty ones empty. Rows without an id come after all ids, in
+    Removed are parts of lines whose min_words words or more stood together before, and whole lines of
+    min_line words or more that did; shorter lines stay. Every piece of every text is compared, in whole
+    texts; the earliest is the one of the smallest id, and in a text the first. Rows with one id are one
+    document: a piece of one isn't removed from another. Null texts stay null, empty ones empty. Rows without an id come after all ids, in
     the order of a hash of their text; those of one text are one document.
     Copies of a whole text keep their row, with what is left of it. An empty table gives no rows.
     Other columns stay as they are; columns with the names of the two added ones are replaced.
@@ -155,7 +194,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nameless = F.lit(1 << 62) + F.pmod(F.xxhash64(F.col(text_col)), F.lit(1 << 62))
     rank = F.coalesce(F.col(id_col).cast("long"), nameless)
     plain = docs.select(rank.alias("doc_id"), F.col(text_col).alias("text"))
-    table = unit_table(plain.filter("text is not null and text <> ''"))
+    table = piece_table(plain.filter("text is not null and text <> ''"), min_words, min_line)
     first = table.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last")
     later = table.join(first.select("digest", "first"), "digest").filter("doc_id <> first")
     seen = later.groupBy("doc_id").agg(F.collect_set("digest").alias("seen"))
@@ -167,7 +206,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for at in range(0, max(1, batch.num_rows), ROWS_AT_ONCE):
                 part = batch.slice(at, ROWS_AT_ONCE)
                 texts = part.column(1)
-                spans = list(_spans(texts, part.column(2), min_words))
+                spans = list(_spans(texts, part.column(2), min_words, min_line))
                 done = [_cut(texts[i].as_py(), s) if s else None for i, s in enumerate(spans)]
                 columns = (
                     pa.array([t.as_py() if d is None else d[0] for t, d in zip(texts, done, strict=True)], pa.string()),

@@ -83,3 +83,13 @@ def test_units_cover_all_words_and_resync():
         assert starts[0] == 0 and (np.diff(starts) > 0).all() and (np.diff(np.append(starts, len(words.hash))) <= lines.MAX_UNIT).all()
         hashes.append(set(digest.tolist()))
     assert len(hashes[0] & hashes[1] & hashes[2]) >= 0.8 * len(hashes[0])
+
+
+def test_parts_from_unrelated_documents_are_no_passage(spark):
+    rng = random.Random(6)
+    text = sentence(rng, VOCABULARY, 400)
+    ((_, _, words, starts, _),) = lines.units(pa.array([text]))
+    parts = [text.split()[a:b] for a, b in zip(starts, starts[1:], strict=False) if b - a < 8]
+    docs = [(i, " ".join([sentence(rng, VOCABULARY, 20), *part, sentence(rng, VOCABULARY, 20)])) for i, part in enumerate(parts)]
+    docs.append((len(docs), text))
+    assert all(not r.removed_starts for r in run(spark, docs))
