@@ -179,7 +179,7 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[int], list[
     return b"".join(kept).decode(), starts, ends
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8, min_line: int = 8) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8, min_line: int = 4) -> DataFrame:
     """docs with text_col cut, and two columns: removed_starts and removed_ends, character offsets
     of what was removed, in the original text (empty if nothing was).
 

@@ -93,3 +93,12 @@ def test_parts_from_unrelated_documents_are_no_passage(spark):
     docs = [(i, " ".join([sentence(rng, VOCABULARY, 20), *part, sentence(rng, VOCABULARY, 20)])) for i, part in enumerate(parts)]
     docs.append((len(docs), text))
     assert all(not r.removed_starts for r in run(spark, docs))
+
+
+def test_short_lines_that_repeat(spark):
+    rng = random.Random(8)
+    short = [f"{sentence(rng, VOCABULARY, n)}" for n in (4, 5, 6, 7)]
+    docs = [(i, "\n".join(x for s in short for x in (sentence(rng, VOCABULARY, 20), s))) for i in range(20)]
+    for r in run(spark, docs):
+        original = dict(docs)[r.doc_id].split("\n")
+        assert [x for x in r.text.split("\n") if x] == (original if r.doc_id == 0 else original[::2])
