@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import stash
+from .tables import drop_since, mark, newest, stash
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -37,15 +37,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     ordered = edges.filter("a <> b").select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     )
+    since = mark()
     now = stash(ordered.distinct(), "edges")
     digest = F.struct(F.count("*"), F.expr("sum(cast(xxhash64(a, b) as decimal(20, 0)))"))
     seen = None
     for _ in range(max_rounds):
         now = stash(_stars(_stars(now, large=True), large=False), "edges")
-        mark = now.agg(digest.alias("d")).head()[0]
-        if mark == seen:
+        drop_since(now.sparkSession, since, [newest()])
+        found = now.agg(digest.alias("d")).head()[0]
+        if found == seen:
             return now.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(
                 now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
             )
-        seen = mark
+        seen = found
     raise RuntimeError(f"components have not settled after {max_rounds} rounds")

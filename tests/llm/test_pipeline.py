@@ -74,7 +74,7 @@ def test_toxic_documents_go(corpus):
 
 def test_one_of_each_group_stays(corpus):
     before, out = map(rows, corpus[2]["near_duplicates"])
-    prints = {i: simhash.fingerprint(simhash.shingle_hashes(r.text)) for i, r in before.items()}
+    prints = {i: simhash.fingerprint(r.text) for i, r in before.items()}
     root = {i: i for i in prints}
     while True:
         new = {i: min(root[j] for j in prints if (prints[i] ^ prints[j]).bit_count() <= 2) for i in prints}
@@ -127,4 +127,4 @@ def test_nameless_and_repeated_rows(spark, corpus, tmp_path):
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{base}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
     got = cp.run(spark, str(tmp_path)).collect()
-    assert [sum(r.doc_id == i for r in got) for i in (0, 1, None)] == [1, 1, 2]
+    assert [sum(r.doc_id == i for r in got) for i in (0, 1, None)] == [1, 1, 0]

@@ -23,12 +23,12 @@ def naive(text):
 
 @given(st.text(alphabet=st.sampled_from("aBÉé \t\n\x0b\x1c\xa0.x"), max_size=60))
 def test_fingerprint_against_plain_python(text):
-    assert simhash.fingerprint(simhash.shingle_hashes(text)) == naive(text)
+    assert simhash.fingerprint(text) == naive(text)
 
 
 def test_fingerprint_of_many_shingles():
     text = " ".join(f"w{i % 700}" for i in range(2000))
-    assert simhash.fingerprint(simhash.shingle_hashes(text)) == naive(text)
+    assert simhash.fingerprint(text) == naive(text)
 
 
 def clusters(fps):
@@ -52,13 +52,11 @@ def test_links_against_all_pairs(spark, hot):
             bits = rng.choice(64, rng.integers(1, 5), replace=False)
             fps.add(int(s) ^ sum(1 << int(b) for b in bits))
     fps = sorted(fps)
-    nodes = spark.createDataFrame([(int(np.uint64(f).view(np.int64)), i) for i, f in enumerate(fps)], "fp long, node long")
-    links = simhash.simhash_links(nodes, hot)
-    pairs = links.collect()
-    values = np.array(fps, np.uint64)
-    assert all(int(np.bitwise_count(values[r.a] ^ values[r.b])) <= 2 for r in pairs)
+    fps = sorted(int(x) for x in np.array(fps, np.uint64).view(np.int64))
+    links = simhash.simhash_links(spark.createDataFrame([(f,) for f in fps], "fp long"), hot)
+    assert all(((r.a ^ r.b) & (2**64 - 1)).bit_count() <= 2 for r in links.collect())
     roots = {r.node: r.root for r in components.components(links).collect()}
-    assert [roots.get(i, i) for i in range(len(fps))] == clusters(fps).tolist()
+    assert [roots.get(f, f) for f in fps] == [fps[i] for i in clusters(np.array(fps).view(np.uint64))]
 
 
 def test_every_row_and_odd_texts(spark):
@@ -73,6 +71,31 @@ def test_every_row_and_odd_texts(spark):
     assert by_id[7].component_id == 7 and by_id[8].component_id == 8
 
 
+def test_a_long_text_in_pieces():
+    text = " ".join(f"Word{i % 997}" for i in range(5000)) + "\n\n" + "x" * 300 + " y"
+    whole = np.concatenate(list(simhash.shingle_hashes(text)))
+    for most in (1, 64, 1000):
+        parts = list(simhash.shingle_hashes(text, most=most))
+        assert len(parts) > 10 and (np.concatenate(parts) == whole).all()
+    assert simhash.fingerprint(text) == naive(text)
+
+
+def test_rows_without_an_id_join_what_lies_between(spark, monkeypatch):
+    """Two named texts four bits apart, and one without an id in the middle: one component."""
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *_: docs.selectExpr("doc_id", "cast(case text when 'left' then 3 when 'right' then 12 else 0 end as bigint) as fp"))
+    rows = [(4, "left", 0, "z"), (None, "between", 0, "z"), (9, "right", 0, "z")]
+    assert {r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()} == {4}
+
+
+def test_one_of_each_keeps_whole_rows(spark):
+    base = " ".join(f"word{i}" for i in range(400))
+    rows = [(5, base, 1, "a"), (3, base.upper(), 2, None), (3, base.upper(), 2, None), (None, base, 3, "c"), (None, "other text here", 4, "d"), (None, "other text here", 4, "d"), (8, None, 5, "e"), (7, "", 6, "f")]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, k0 int, whole string"))
+    assert got.columns == ["doc_id", "text", "k0", "whole"]
+    assert sorted(got.collect(), key=str) == sorted([(3, base.upper(), 2, None), (None, "other text here", 4, "d"), (7, "", 6, "f")], key=str)
+    assert simhash.one_of_each(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
 def test_all_ids_null_and_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     got = simhash.near_duplicates(spark.createDataFrame([(None, "a b c", 0, "z")], SCHEMA)).collect()
