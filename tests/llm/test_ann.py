@@ -54,7 +54,39 @@ def test_ties_copies_and_a_hot_vector(spark):
 def test_odd_vectors_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     vectors = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, []), (20, None), (None, [1.0, 1.0]), (7, [2.0, 1.0]), (8, [1.0, 2.0, 3.0]), (7, [2.0, 1.0])]
-    assert run(spark, vectors) == {0: [(7, 2.0)]}
+    assert run(spark, vectors) == {0: [(7, 2.0), (7, 2.0)]}
+
+
+def test_many_ties_at_the_edge_go_to_the_smallest_ids(spark):
+    vectors = [(i, [1.0, float(i)]) for i in range(60)]
+    for block_rows in (2048, 16):
+        got = run(spark, [(0, [1.0, 0.0]), *vectors[1:]], block_rows=block_rows, recall=1.0)
+        assert [i for i, _ in got[0]] == list(range(1, 21)) and {s for _, s in got[0]} == {1.0}
+
+
+def test_rows_of_one_id_and_vectors_of_other_lengths(spark):
+    vectors = [(0, [1.0, 0.0]), (7, [5.0, 1.0]), (7, [9.0, 1.0]), (20, [1.0, 0.0, 0.0]), (8, [3.0, 0.0, 1.0]), (9, [2.0])]
+    assert run(spark, vectors) == {0: [(7, 9.0), (7, 5.0)], 20: [(8, 3.0)]}
+
+
+def test_scores_of_doubles_are_theirs(spark):
+    frame = spark.createDataFrame([(0, [1.0]), (1, [0.1])], "vec_id long, embedding array<double>")
+    assert [r.score for r in ann.nearest_neighbours(frame, F.col("vec_id") % 20 == 0).collect()] == [0.1]
+
+
+def test_few_blocks_are_read_where_data_cluster(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((250, 24))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    data = np.repeat(centres, 40, axis=0) + 0.03 * rng.standard_normal((10_000, 24))
+    vectors = list(enumerate(data.tolist()))
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    rows = ann.searchable(frame, F.col("vec_id") % 20 == 0, "vec_id", "embedding")
+    index = ann.fit_index(ann.grouped(rows, 20), 24, 20, block_rows=100)
+    assert index.blocks == 100 and index.looked_at < 0.2 and index.recall >= 0.95
+    got, want = run(spark, vectors, block_rows=100), brute(vectors, 20)
+    hit = sum(len(set(a) & set(ids(want)[q])) for q, a in ids(got).items())
+    assert hit >= 0.95 * sum(map(len, want.values()))
 
 
 def test_empty_single_and_no_queries(spark):
