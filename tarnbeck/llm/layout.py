@@ -2,12 +2,13 @@
 
 A tree builder applies the implied-tag rules of HTML; visibility rules drop what a browser would
 not show; a renderer emits all visible text with block spacing, list markers and aligned table
-cells. Everything works on one page at a time, in time linear in its length (but for the padding
-of tables, which is bounded)."""
+cells. One page is held at a time, whatever its depth: nothing recurses, and no element, cell or text is left out for
+its depth or length."""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
@@ -26,7 +27,8 @@ TOKEN = re.compile(
 ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+)))?")
 BLANK = re.compile(r"[ \t\n\r\f]+")
 STYLE_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+GONE = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)", re.I)
 
 # Element names of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,17 +48,24 @@ TABLE_PARTS = frozenset("caption colgroup thead tbody tfoot tr td th".split())
 KEEPS_BLANKS = frozenset("pre listing textarea xmp plaintext".split())
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u span sub sup mark q abbr cite label".split())
 
-#: Deeper elements join their ancestor at this depth; their text stays.
-MAX_DEPTH = 200
-#: Tables with longer cells are layout, not data: cells follow each other instead of being padded.
-MAX_CELL = 80
+INPUTS_WITHOUT_TEXT = frozenset("hidden checkbox radio file image color range password".split())
+
+#: Blocks nested deeper than this are indented no further, as an indent for each level of each line
+#: would make texts grow with the square of the page.
+MOST_INDENTS = 32
+#: A row with a longer line in a cell isn't padded: its cells follow each other. Other rows stay aligned.
+WIDEST_CELL = 80
+#: Tables inside so many others aren't aligned, as each level copies the lines inside: cells are blocks.
+MOST_GRIDS = 16
 
 
 class Node:
-    __slots__ = ("attrs", "children", "hidden", "tag")
+    """hidden: it and all inside take no part. shows: whether visibility makes it seen, None as its parent."""
+
+    __slots__ = ("attrs", "children", "hidden", "shows", "tag")
 
-    def __init__(self, tag: str, attrs: dict[str, str], hidden: bool) -> None:
-        self.tag, self.attrs, self.hidden = tag, attrs, hidden
+    def __init__(self, tag: str, attrs: dict[str, str], hidden: bool, shows: bool | None = None) -> None:
+        self.tag, self.attrs, self.hidden, self.shows = tag, attrs, hidden, shows
         self.children: list[Node | str] = []
 
 
@@ -76,6 +85,7 @@ class Builder:
         self.open = [self.root]
         self.count: Counter[str] = Counter()  # of open elements by name, so that what isn't open isn't looked for
         self.unseen: set[str] = set()  # simple selectors that a style sheet hides
+        self.shows: dict[str, bool] = {}  # visibility by simple selector
 
     def _cut(self, i: int, j: int | None = None) -> None:
         self.count.subtract(n.tag for n in self.open[i:j])
@@ -97,22 +107,27 @@ class Builder:
             self._cut(i)
 
     def _push(self, tag: str, attrs: dict[str, str]) -> None:
-        node = Node(tag, attrs, self._hides(tag, attrs))
-        self.open[min(len(self.open), MAX_DEPTH) - 1].children.append(node)
+        node = Node(tag, attrs, *self._styled(tag, attrs))
+        self.open[-1].children.append(node)
+        if tag == "input" and attrs.get("type", "text").lower() not in INPUTS_WITHOUT_TEXT:
+            node.children.append(attrs.get("value") or attrs.get("placeholder", ""))
         if tag not in VOID:
             self.open.append(node)
             self.count[tag] += 1
 
-    def _hides(self, tag: str, attrs: dict[str, str]) -> bool:
-        if tag in NEVER_SHOWN or (tag == "dialog" and "open" not in attrs) or (tag == "input"):
-            return True
-        if not attrs:
-            return tag in self.unseen
-        if "hidden" in attrs or UNSEEN.search(attrs.get("style", "")):
-            return True
-        return bool(self.unseen) and bool(
-            {tag, "#" + attrs.get("id", ""), *("." + c for c in attrs.get("class", "").split())} & self.unseen
-        )
+    def _styled(self, tag: str, attrs: dict[str, str]) -> tuple[bool, bool | None]:
+        """hidden, shows"""
+        if tag in NEVER_SHOWN or (tag == "dialog" and "open" not in attrs):
+            return True, None
+        style = attrs.get("style", "")
+        names = [tag, *("." + c for c in attrs.get("class", "").split()), *(["#" + attrs["id"]] if "id" in attrs else [])]
+        hidden = "hidden" in attrs or bool(GONE.search(style)) or not self.unseen.isdisjoint(names)
+        shows = None
+        for name in names if self.shows else ():
+            shows = self.shows.get(name, shows)
+        if found := VISIBILITY.search(style):
+            shows = found[1].lower() == "visible"
+        return hidden, shows
 
     def start(self, tag: str, attrs: dict[str, str], self_closing: bool) -> None:
         scope = frozenset(("table", "td", "th", "caption", "button", "html", "body"))
@@ -179,16 +194,17 @@ class Builder:
             self._close({tag}, frozenset(("table", "td", "th", "caption")) if tag != "form" else frozenset(("table",)))
 
     def text(self, data: str) -> None:
-        top = self.open[min(len(self.open), MAX_DEPTH) - 1]
-        if top.tag == "head" and data.strip():
+        if self.open[-1].tag == "head" and data.strip():
             self._cut(-1)
-            top = self.open[-1]
-        top.children.append(data)
+        self.open[-1].children.append(data)
 
     def style(self, sheet: str) -> None:
         for selectors, body in STYLE_RULE.findall(sheet):
-            if UNSEEN.search(body):
-                self.unseen |= {s for x in selectors.split(",") if re.fullmatch(r"[.#]?[\w-]+", s := x.strip())}
+            simple = [s for x in selectors.split(",") if re.fullmatch(r"[.#]?[\w-]+", s := x.strip())]
+            if GONE.search(body):
+                self.unseen.update(simple)
+            if found := VISIBILITY.search(body):
+                self.shows.update(dict.fromkeys(simple, found[1].lower() == "visible"))
 
 
 def parse(page: str) -> Node:
@@ -227,7 +243,8 @@ class Page:
     """Lines of text under way. A block starts and ends a line; spaced blocks ask for an empty
     line between themselves and their neighbours."""
 
-    def __init__(self) -> None:
+    def __init__(self, grids: int = 0) -> None:
+        self.grids = grids  # aligned tables around
         self.lines: list[str] = []
         self.parts: list[str] = []
         self.space = False  # a blank is due before the next word
@@ -261,9 +278,9 @@ class Page:
         if self.gap and self.lines:
             self.lines.append("")
         self.gap = False
-        lead = "".join(self.lead)
+        lead = "".join(self.lead[:MOST_INDENTS])
         if self.mark is not None:
-            lead = lead[: len(lead) - len(self.mark)] + self.mark
+            lead = (lead[: len(lead) - len(self.mark)] if len(self.lead) <= MOST_INDENTS else lead) + self.mark
             self.mark = None
         self.lines.append((lead + line.replace("\xa0", " ")).rstrip())
 
@@ -278,21 +295,35 @@ class Page:
         self.gap = self.gap or spaced
 
 
-def _render(node: Node, page: Page, keep: bool, lists: int) -> None:
+def _walk(first: Iterator) -> None:
+    """Run a renderer; what it yields are the renderers of elements inside, to be run before it goes on."""
+    stack = [first]
+    while stack:
+        inner = next(stack[-1], None)
+        if inner is None:
+            stack.pop()
+        else:
+            stack.append(inner)
+
+
+def _render(node: Node, page: Page, keep: bool, lists: int, seen: bool = True) -> Iterator[Iterator]:
     tag = node.tag
     if node.hidden:
         return
+    seen = seen if node.shows is None else node.shows
     if tag == "br":
-        page.line_break()
+        if seen:
+            page.line_break()
         return
     if tag == "hr":
         page.block(True)
-        page.emit("---")
-        page.gap = True
+        if seen:
+            page.emit("---")
+            page.gap = True
         return
     if tag == "table":
         page.block(True)
-        _render_table(node, page, lists)
+        yield _render_table(node, page, lists, seen)
         page.block(True)
         return
     block = tag in BLOCKS
@@ -310,15 +341,15 @@ def _render(node: Node, page: Page, keep: bool, lists: int) -> None:
     elif tag == "dd":
         lead = "    "
     elif tag == "li":
-        lead = node.attrs.get("\0mark", "- ")
-        page.mark, lead = lead, " " * len(lead)
+        mark = node.attrs.get("\0mark", "- ")
+        page.mark, lead = mark if seen else None, " " * len(mark)
     if lead is not None:
         page.lead.append(lead)
     closed = tag == "details" and "open" not in node.attrs
     keep = keep or tag in KEEPS_BLANKS
     for child in node.children:
         if isinstance(child, str):
-            if closed:
+            if closed or not seen or not child:
                 continue
             if not keep:
                 page.words(child)
@@ -338,7 +369,7 @@ def _render(node: Node, page: Page, keep: bool, lists: int) -> None:
                 number = int(value) if re.fullmatch(r"-?\d{1,9}", value) else number
                 child.attrs["\0mark"] = f"{number}. "
                 number += 1
-            _render(child, page, keep, lists)
+            yield _render(child, page, keep, lists, seen)
     if block:
         page.block(spaced)
     if lead is not None:
@@ -374,13 +405,20 @@ def _span(attrs: dict[str, str], name: str, most: int) -> int:
     return max(1, min(int(value), most)) if re.fullmatch(r"\d{1,6}", value) else 1
 
 
-def _render_table(node: Node, page: Page, lists: int) -> None:
+def _render_table(node: Node, page: Page, lists: int, seen: bool) -> Iterator[Iterator]:
     for loose in _loose(node):
-        if isinstance(loose, str):
+        if not isinstance(loose, str):
+            yield _render(loose, page, False, lists, seen)
+        elif seen:
             page.words(loose)
-        else:
-            _render(loose, page, False, lists)
     page.flush()
+    if page.grids >= MOST_GRIDS:
+        for cell in (c for row in _rows(node) for c in row.children if isinstance(c, Node) and c.tag in ("td", "th") and not c.hidden):
+            page.block(False)
+            block = Node("div", {}, False, cell.shows)
+            block.children = cell.children
+            yield _render(block, page, False, lists, seen)
+        return
     grid: list[dict[int, tuple[list[str], int]]] = []
     taken: dict[int, int] = {}  # columns that a cell above still covers: rows left
     for row in _rows(node):
@@ -388,45 +426,56 @@ def _render_table(node: Node, page: Page, lists: int) -> None:
         now = {c for c, left in taken.items() if left > 0}
         taken = {c: left - 1 for c, left in taken.items() if left > 1}
         at = 0
+        row_seen = seen if row.shows is None else row.shows
         for cell in row.children:
             if not isinstance(cell, Node) or cell.tag not in ("td", "th"):
                 continue
             while at in now:
                 at += 1
             wide, high = _span(cell.attrs, "colspan", 1000), _span(cell.attrs, "rowspan", 65534)
-            inner = Page()
+            inner = Page(page.grids + 1)
             if not cell.hidden:
+                cell_seen = row_seen if cell.shows is None else cell.shows
                 for child in cell.children:
-                    inner.words(child) if isinstance(child, str) else _render(child, inner, False, lists)
+                    if not isinstance(child, str):
+                        yield _render(child, inner, False, lists, cell_seen)
+                    elif cell_seen:
+                        inner.words(child)
                 inner.flush()
             cells[at] = inner.lines, wide
             if high > 1:
                 taken.update({c: high - 1 for c in range(at, at + wide)})
             at += wide
         grid.append(cells)
-    lines = [x for cells in grid for body, _ in cells.values() for x in body]
-    if any(len(x) > MAX_CELL for x in lines) or any(len(body) > 1 for cells in grid for body, _ in cells.values()):
-        for cells in grid:
+    aligned = [all(len(x) <= WIDEST_CELL for body, _ in cells.values() for x in body) for cells in grid]
+    width: dict[int, int] = {}
+    for cells, even in zip(grid, aligned, strict=True):
+        for c, (body, wide) in cells.items():
+            if even and wide == 1 and body:
+                width[c] = max(width.get(c, 0), *map(len, body))
+    for cells, even in zip(grid, aligned, strict=True):
+        if even:
+            for line in _aligned(cells, width):
+                page.emit(line)
+        else:
             for body, _ in cells.values():
                 for line in body:
                     page.emit(line)
-        return
-    width: dict[int, int] = {}
-    for cells in grid:
-        for c, (body, wide) in cells.items():
-            if wide == 1 and body:
-                width[c] = max(width.get(c, 0), len(body[0]))
-    for cells in grid:
-        out = ""
-        reach = 0
+
+
+def _aligned(cells: dict[int, tuple[list[str], int]], width: dict[int, int]) -> Iterator[str]:
+    """The lines of a row, as many as its highest cell has, each cell padded to its columns' width."""
+    columns = sorted(width)
+    for i in range(max((len(body) for body, _ in cells.values()), default=0)):
+        out, reach = "", 0
         for c, (body, wide) in sorted(cells.items()):
-            for k in range(reach, c):
-                out += " " * (width.get(k, 0) + 2) if width.get(k) else ""
-            room = sum(width.get(k, 0) for k in range(c, c + wide) if k in width) + 2 * (sum(k in width for k in range(c, c + wide)) - 1)
-            out += (body[0] if body else "").ljust(max(room, 0)) + ("  " if room >= 0 else "")
+            for k in columns[bisect_left(columns, reach) : bisect_left(columns, c)]:
+                out += " " * (width[k] + 2) if width[k] else ""
+            own = columns[bisect_left(columns, c) : bisect_left(columns, c + wide)]
+            room = sum(width[k] for k in own) + 2 * (len(own) - 1)
+            out += (body[i] if i < len(body) else "").ljust(max(room, 0)) + ("  " if room >= 0 else "")
             reach = c + wide
-        if out.strip():
-            page.emit(out.rstrip())
+        yield out.rstrip()
 
 
 def render(page: str | None) -> str | None:
@@ -434,7 +483,7 @@ def render(page: str | None) -> str | None:
     if page is None:
         return None
     out = Page()
-    _render(parse(page), out, False, 0)
+    _walk(_render(parse(page), out, False, 0))
     out.flush()
     while out.lines and not out.lines[-1]:
         out.lines.pop()

@@ -30,6 +30,15 @@ CASES = {
     "a b  c\n d": "a b c d",
     "<b>x<p>y</b>z": "x\n\nyz",
     "<p>unclosed <a href=\"x": "unclosed",
+    "<p style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no": "yes",
+    "<style>.v {visibility:hidden} b {visibility:visible}</style><p class=v>no<b>yes</b>": "yes",
+    "<form><input name=q value=words> <input type=submit value=Go><input type=hidden value=no><input placeholder=hint></form>": "words Gohint",
+    "<table><tr><td>ab<br>c<td>d<tr><td>x<td>y</table>": "ab  d\nc\nx   y",
+    "<table><tr><td>a<td>b<tr><td>" + "long " * 20 + "<td>c<tr><td>dd<td>e</table>": "a   b\n" + ("long " * 20).strip() + "\nc\ndd  e",
+    "<div>" * 300 + "<p hidden>secret</p>ok": "ok",
+    "<div>" * 300 + "<table><tr><td>a<td>b<tr><td>cc<td>dd</table>": "a   b\ncc  dd",
+    "<blockquote>" * 5000 + "q": "> " * 32 + "q",
+    "<table><tr><td>x" * 300: "\n\n".join(["x"] * 300),
     "": "",
 }
 
@@ -56,7 +65,7 @@ def test_any_text_renders(text):
     assert isinstance(layout.render(text), str)
 
 
-@pytest.mark.parametrize("part", ["<div>", "<p>x", "<b><p>x", "<table><tr><td>", "<a href=\"", "<!--", "<li>", "</p>", "&", "<", "<td", "<script>", "<ul><li>x"])
+@pytest.mark.parametrize("part", ["<div>", "<p>x", "<b><p>x", "<table><tr><td>", "<a href=\"", "<!--", "<li>", "</p>", "&", "<", "<td", "<script>", "<ul><li>x", "<table><tr><td>x", "<ol><li>x", "<div hidden>", "<blockquote>x"])
 def test_time_is_linear(part):
     began = time.perf_counter()
     layout.render(part * 20_000)
