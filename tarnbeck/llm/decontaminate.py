@@ -7,8 +7,9 @@ a key with an item is a candidate. Walks are repeated until the wanted recall is
 largest edit distance allowed. Candidates are verified by exact word edit distance.
 
 Windows are as long as the items they are compared with. Walks are spent only on windows that could
-hold an item: k edits leave at least L - 2 - 3k of an item's L - 2 word trigrams intact, so a window
-that shows fewer trigrams of the items of its size than that holds no item within k edits."""
+hold an item: k edits leave at least L - (q - 1) - qk of an item's L - (q - 1) word q-grams intact, so a
+window that shows fewer q-grams of the items of its size than that holds no item within k edits; q is
+the largest up to 3 that leaves one. Items so short that no edit is allowed are looked up as they are."""
 
 from __future__ import annotations
 
@@ -24,8 +25,6 @@ from pyspark.sql import functions as F
 
 from .textbits import HashSet, Words, find_words, fold_case, mix, pair, text_runs
 
-#: Items with fewer words are too short to tell a copy from chance.
-MIN_WORDS = 5
 #: Items are compared at window sizes that grow by this factor; longer ones by their beginning.
 SIZE_STEP = 1.15
 #: Coordinates that a key joins, and keys drawn from one walk.
@@ -39,8 +38,8 @@ RUN_BYTES = 2 << 20
 
 
 def allowed_edits(words: int, rate: float) -> int:
-    """Edits allowed in an item: the rate, and never so many that no trigram need survive."""
-    return min(int(rate * words), max(0, (words - 3) // 3))
+    """Word edits allowed in an item; never all of its words."""
+    return min(int(rate * words + 1e-9), words - 1)
 
 
 def walks_for(recall: float) -> int:
@@ -50,8 +49,17 @@ def walks_for(recall: float) -> int:
     return 2 * math.ceil(math.log(1.0 - recall) / math.log(miss) / KEYS_PER_WALK)
 
 
-def trigrams(words: np.ndarray) -> np.ndarray:
-    return pair(pair(words[:-2], words[1:-1]), words[2:])
+def grams(words: np.ndarray, q: int) -> np.ndarray:
+    """Hashes of all runs of q words."""
+    out = words[: max(0, len(words) - q + 1)]
+    for k in range(1, q):
+        out = pair(out, words[k : k + len(out)])
+    return out
+
+
+def intact(words: int, edits: int, q: int) -> int:
+    """How many of so many words' q-grams that many edits leave at least."""
+    return words - (q - 1) - q * edits
 
 
 def walk_keys(symbols: np.ndarray, starts: np.ndarray, size: int, limit: np.ndarray, walks: int, seed: int) -> np.ndarray:
@@ -117,24 +125,31 @@ class Index:
     rate: float
     walks: int
     seed: int = 5
-    item_grams: list[np.ndarray] = field(init=False)
-    grams: HashSet = field(init=False)
-    grams_of: dict[int, np.ndarray] = field(init=False)
-    sizes: dict[int, list[int]] = field(init=False)
+    #: Items without an edit: by their length, sorted hashes of all their words, and the items.
+    whole: dict[int, tuple[np.ndarray, np.ndarray]] = field(init=False)
+    #: By window size: q, the least number of q-grams, the q-grams of the items, and the keys of their walks.
+    sizes: dict[int, tuple[int, int, HashSet]] = field(init=False)
     keys: dict[int, tuple[np.ndarray, np.ndarray]] = field(init=False)
 
     def __post_init__(self) -> None:
-        self.item_grams = [trigrams(w) for w in self.words]
-        self.grams = HashSet(np.unique(np.concatenate([np.empty(0, np.uint64), *self.item_grams])))
-        self.sizes = {}
+        self.whole, self.sizes, self.keys = {}, {}, {}
+        short: dict[int, list[int]] = {}
+        classes: dict[int, list[int]] = {}
         for i, w in enumerate(self.words):
-            step = int(math.log(len(w) / MIN_WORDS) / math.log(SIZE_STEP) + 1e-9)
-            size = min(len(w), math.ceil(MIN_WORDS * SIZE_STEP**step))
-            self.sizes.setdefault(size, []).append(i)
-        self.keys, self.grams_of = {}, {}
-        for size, items in self.sizes.items():
-            self.grams_of[size] = np.zeros(len(self.grams.table), bool)
-            self.grams_of[size][self.grams.find(np.concatenate([self.item_grams[i] for i in items]))] = True
+            if not allowed_edits(len(w), self.rate):
+                short.setdefault(len(w), []).append(i)
+                continue
+            step = int(math.log(len(w)) / math.log(SIZE_STEP) + 1e-9)
+            classes.setdefault(min(len(w), math.ceil(SIZE_STEP**step)), []).append(i)
+        for n, items in short.items():
+            flat = np.array([grams(self.words[i], n)[0] for i in items], np.uint64)
+            order = np.argsort(flat, kind="stable")
+            self.whole[n] = flat[order], np.array(items)[order]
+        for size, items in classes.items():
+            edits = max(allowed_edits(len(self.words[i]), self.rate) for i in items)
+            q = next((q for q in (3, 2) if intact(size, edits, q) > 0), 1)
+            found = np.unique(np.concatenate([grams(self.words[i], q) for i in items]))
+            self.sizes[size] = q, max(1, intact(size, edits, q)), HashSet(found)
             symbols = np.concatenate([self.words[i] for i in items])
             ends = np.cumsum([len(self.words[i]) for i in items])
             starts = ends - [len(self.words[i]) for i in items]
@@ -144,44 +159,60 @@ class Index:
             self.keys[size] = flat[order], np.repeat(items, key.shape[1])[order]
 
 
-def _candidate_windows(grams: np.ndarray, doc_end: np.ndarray, size: int, least: int) -> np.ndarray:
-    """Starts of all windows of so many words that show at least `least` trigrams of the items
-    of their size; grams counts them cumulatively. Windows that show fewer than their neighbours count as well: an
-    item whose edits stand together at its head has its own window at the foot of a slope."""
+def _met(keys: np.ndarray, owner: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in mine, owner) of all equal keys; keys are sorted."""
+    left = np.searchsorted(keys, mine, side="left")
+    count = np.searchsorted(keys, mine, side="right") - left
+    at = np.repeat(left - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    return np.repeat(np.arange(len(mine)), count), owner[at]
+
+
+def _candidate_windows(shown: np.ndarray, doc_end: np.ndarray, size: int, q: int, least: int) -> np.ndarray:
+    """Starts of all windows of so many words that show at least `least` q-grams of the items
+    of their size; shown counts them cumulatively."""
     start = np.arange(len(doc_end))
     stop = np.minimum(start + size, doc_end)
-    return np.flatnonzero(grams[np.maximum(stop - 2, start)] - grams[start] >= least)
+    return np.flatnonzero(shown[np.maximum(stop - (q - 1), start)] - shown[start] >= least)
 
 
 def _matches(words: Words, index: Index) -> Iterator[tuple[int, int, int, int, int]]:
     """(text number, item, first word, word after the last, distance) of verified copies in a run."""
     symbols = words.hash
-    if len(symbols) < MIN_WORDS or not index.ids:
+    if not len(symbols) or not index.ids:
         return
-    place = index.grams.find(trigrams(symbols))
-    at = np.flatnonzero((place >= 0) & (words.row[2:] == words.row[:-2]))
-    if not len(at):
-        return
-    place = place[at]
     doc_end = words.first[words.row + 1]
+    runs: dict[int, np.ndarray] = {}
+
+    def hashed(q: int) -> np.ndarray:
+        if q not in runs:
+            runs[q] = grams(symbols, q)
+        return runs[q]
+
+    hits: set[tuple[int, int, int, int, int]] = set()
+    for n, (keys, owner) in index.whole.items():
+        at, item = _met(keys, owner, hashed(n))
+        for a, i in zip(at.tolist(), item.tolist(), strict=True):
+            if a + n <= doc_end[a] and (symbols[a : a + n] == index.words[i]).all():
+                hits.add((int(words.row[a]), i, a, a + n, 0))
     found: set[tuple[int, int, int]] = set()
     for size, (keys, owner) in index.keys.items():
-        items = index.sizes[size]
-        least = max(1, min(size - 2 - 3 * allowed_edits(len(index.words[i]), index.rate) for i in items))
+        q, least, own = index.sizes[size]
+        if len(symbols) < q:
+            continue
+        place = own.find(hashed(q))
+        at = np.flatnonzero((place >= 0) & (words.row[q - 1 :] == words.row[: len(symbols) - q + 1]))
+        if not len(at):
+            continue
         inside = np.zeros(len(symbols) + 1, np.int64)
-        inside[at[index.grams_of[size][place]] + 1] = 1
-        windows = _candidate_windows(np.cumsum(inside), doc_end, size, least)
+        inside[at + 1] = 1
+        windows = _candidate_windows(np.cumsum(inside), doc_end, size, q, least)
         for lo in range(0, len(windows), WINDOWS_AT_ONCE):
             start = windows[lo : lo + WINDOWS_AT_ONCE]
             mine = walk_keys(symbols, start, size, doc_end[start], index.walks, index.seed)
-            left = np.searchsorted(keys, mine.ravel(), side="left")
-            count = np.searchsorted(keys, mine.ravel(), side="right") - left
-            window = np.repeat(np.repeat(start, mine.shape[1]), count)
-            met = np.repeat(left - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            pairs = np.unique(np.stack([window, owner[met]]), axis=1)
+            at, item = _met(keys, owner, mine.ravel())
+            pairs = np.unique(np.stack([start[at // mine.shape[1]], item]), axis=1)
             found.update((i, s, size) for s, i in pairs.T.tolist())
     done: dict[tuple[int, int], int] = {}
-    hits: set[tuple[int, int, int, int, int]] = set()
     for item, start, _ in sorted(found):
         row = int(words.row[start])
         if done.get((row, item), -1) > start:
@@ -190,11 +221,11 @@ def _matches(words: Words, index: Index) -> Iterator[tuple[int, int, int, int, i
         most = allowed_edits(len(own), index.rate)
         lo = max(int(words.first[row]), start - most - 4)
         hi = min(int(words.first[row + 1]), start + len(own) + most + 4)
-        shown = np.sort(trigrams(symbols[lo:hi]))
-        wanted = index.item_grams[item]
-        there = shown[np.minimum(np.searchsorted(shown, wanted), len(shown) - 1)] == wanted
-        if there.sum() < len(wanted) - 3 * most:
-            continue  # more of the item's trigrams are gone than so many edits can break
+        shown, wanted = np.sort(grams(symbols[lo:hi], 3)), grams(own, 3)
+        if intact(len(own), most, 3) > 0:
+            there = shown[np.minimum(np.searchsorted(shown, wanted), len(shown) - 1)] == wanted if len(shown) else np.zeros(1)
+            if there.sum() < intact(len(own), most, 3):
+                continue  # more of the item's trigrams are gone than so many edits can break
         distance, a, b = edit_distance_within(own, symbols[lo:hi], most)
         while 0 < distance <= most:  # a window before or after the copy may show only part of it
             low = max(int(words.first[row]), lo + a - most - 4)
@@ -217,7 +248,7 @@ def load_items(benchmark: DataFrame, id_col: str, text_col: str) -> tuple[list[i
         found = find_words(fold_case(run))
         for k in range(len(run)):
             own = found.hash[found.first[k] : found.first[k + 1]]
-            if len(own) >= MIN_WORDS:
+            if len(own):
                 ids.append(table["i"][lo + k].as_py())
                 words.append(own)
     return ids, words
@@ -232,10 +263,11 @@ def find_copies(
     edits of a benchmark item; start and end are character offsets in the text, and a text has a row
     for each passage and item.
 
-    Words are runs of letters, digits and characters beyond ASCII, case aside. Items with fewer than
-    five words, null items and null ids of items take no part; null and empty texts have no copies;
+    Words are runs of letters, digits and characters beyond ASCII, case aside. An item of few words, for
+    which rate * words is below 1, counts where it stands as it is. Items without a word, null items
+    and null ids of items take no part; null and empty texts have no copies;
     a null doc_id keeps its rows. Repeated rows are searched each. Items are shipped to the executors
-    in shards of shard_bytes of text at most (an item that is longer is a shard of its own), and docs
+    in shards of about shard_bytes of text, dealt by a hash of their ids, and docs
     are searched once for each. An empty table on either side gives no rows. Other columns are not
     read.
     """

@@ -90,6 +90,19 @@ def test_odd_rows(spark):
     assert dc.remove_contaminated(df, items).count() == 3 and dc.remove_contaminated(df, items.limit(0)).count() == len(docs)
 
 
+def test_items_of_few_words(spark):
+    bench = [(1, "alpha"), (2, "beta gamma"), (3, "delta epsilon zeta"), (4, "eta theta iota kappa"), (5, "one two three four five"), (6, "!?"), (7, "red green blue cyan pink")]
+    texts = {
+        10: "an alpha here", 11: "alphabet", 12: "beta, GAMMA", 13: "gamma beta", 14: "x delta epsilon zeta", 15: "delta epsilon", 16: "eta theta iota kappa",
+        17: "eta theta iota lambda", 18: "one two nine four five", 19: "one two nine ten five", 20: "two three four five", 21: "beta", 22: "red green blue gray cyan pink so",
+    }
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in texts.items()], DOCS)
+    found = dc.find_copies(df, spark.createDataFrame([(i, t, "y") for i, t in bench], ITEMS)).collect()
+    assert {(r.doc_id, r.item_id, r.distance) for r in found} == {(10, 1, 0), (12, 2, 0), (14, 3, 0), (16, 4, 0), (18, 5, 1), (20, 5, 1), (22, 7, 1)}
+    assert [(r.start, r.end) for r in found if r.doc_id == 10] == [(3, 8)]
+    assert dc.allowed_edits(5, 0.2) == 1 and dc.allowed_edits(15, 0.2) == 3 and dc.allowed_edits(4, 0.2) == 0
+
+
 @pytest.mark.parametrize(("size", "rate"), [(15, 0.2), (30, 0.2), (50, 0.1), (50, 0.2)])
 def test_walks_meet_at_the_largest_distance(size, rate):
     rng, chance = random.Random(size), np.random.default_rng(size)
