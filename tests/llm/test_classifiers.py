@@ -93,6 +93,28 @@ def test_dual_coordinate_descent_separates():
     assert (model.scores(rows) > 0.5).tolist() == [bool(i % 2) for i in range(200)]
 
 
+def test_dual_coordinate_descent_against_projected_gradients():
+    """The dual problem solved another way: small steps on all duals at once, cut to the box."""
+    rng = np.random.default_rng(4)
+    x, c = rng.standard_normal((40, 6)), 0.7
+    sign = np.where(x[:, 0] + 0.8 * rng.standard_normal(40) > 0, 1.0, -1.0)
+    w, offset = quality.descend([np.arange(6)] * 40, list(x), sign, 6, c, 400, rng)
+    full = np.column_stack([x, np.ones(40)]) * sign[:, None]
+    gram, dual = full @ full.T, np.zeros(40)
+    for _ in range(60_000):
+        dual = np.clip(dual - (gram @ dual - 1) / np.linalg.norm(gram, 2), 0, c)
+    assert np.append(w, offset) == pytest.approx(full.T @ dual, abs=1e-3)
+
+
+def test_words_and_letters_count_for_quality(spark, larger):
+    docs, labels = tables(spark, larger)
+    good = [r.text for r in docs.join(labels.filter("quality = 1"), "doc_id").orderBy("doc_id").limit(40).collect() if r.text]
+    swap = str.maketrans("etaoinsrhldcu" + "etaoinsrhldcu".upper(), "qxzqxzqxzqxzq" + "QXZQXZQXZQXZQ")
+    rows = [(10**6 + i, t) for i, t in enumerate(good)] + [(2 * 10**6 + i, t.translate(swap)) for i, t in enumerate(good)]
+    got = {r.doc_id: r.score for r in quality.quality_scores(docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string")), labels).collect()}
+    assert np.mean([got[10**6 + i] > got[2 * 10**6 + i] for i in range(len(good))]) >= 0.9
+
+
 def test_isotonic_is_the_best_monotone_fit():
     rng = np.random.default_rng(1)
     raw = rng.random(300).round(2)
