@@ -47,7 +47,8 @@ def test_rates_against_numpy(spark):
     tokens = rng.integers(1, 50, 60)
     goal = np.array([0.75, 0.2, 0.05]) * tokens.sum()
     mass = spark.createDataFrame([(int(t), [float(x) for x in p]) for t, p in zip(tokens, post, strict=True)], "tokens long, post array<double>")
-    steps = mixing.fit_rates(mass, goal)
+    steps, left = mixing.fit_rates(mass, goal)
+    assert left <= mixing.TOLERANCE
     rate = before = np.ones(60)
     for *g, momentum in steps:
         rate, before = np.maximum(0, rate + momentum * (rate - before) - post @ np.array(g)), rate
@@ -57,6 +58,20 @@ def test_rates_against_numpy(spark):
     assert [r[0] for r in replayed] == pytest.approx(rate.tolist())
 
 
+def test_posteriors_against_numpy(spark):
+    rows = [*corpus(80), (900, None, "a"), (901, "", "a"), (902, "zzz", "a")]
+    docs, labelled = frames(spark, rows)
+    model = mixing.learn_domains(docs, labelled, "doc_id", "text", 4000)
+    coded = docs.select("doc_id", mixing._codes(mixing._tokens(F.col("text"))).alias("codes")).collect()
+    got = {r.doc_id: r for r in mixing.posteriors(docs.select("doc_id", "text"), "text", model).collect()}
+    for r in coded:
+        codes = np.array(r.codes, int)
+        said = np.array([model.starts[k][codes // mixing.ENDS].sum() + model.ends[k][codes % mixing.ENDS].sum() for k in range(3)])
+        logit = model.prior + np.where(said == 0, model.silent, np.clip(said, -mixing.MOST_EVIDENCE, mixing.MOST_EVIDENCE))
+        share = np.exp(logit - logit.max())
+        assert got[r.doc_id]["__post"] == pytest.approx((share / share.sum()).tolist(), rel=1e-3) and got[r.doc_id]["__tokens"] == len(codes)
+
+
 def test_unreachable_targets_end(spark):
     docs, labelled = frames(spark, corpus(60))
     got = mixing.mix_sources(docs, labelled, {"nowhere": 1.0}).collect()
