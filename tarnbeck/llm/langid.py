@@ -1,6 +1,7 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-The log-probability matrix (hash slots by languages) is one array shipped to the executors; a
+The log-probability matrix (hash slots by languages, and the languages' shares of all labelled
+texts as prior) is one array shipped to the executors; a
 batch of texts is scored by gathering its slots and summing them per text."""
 
 from __future__ import annotations
@@ -93,7 +94,9 @@ def identify_languages(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     held = fold(F.col("doc_id"), folds) == held_fold
     known = rows.filter(~held & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs = sorted(r["lang"] for r in known.select("lang").distinct().collect())
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    langs = sorted(sizes)
+    prior = np.log(np.array([sizes[x] for x in langs], float) / max(1, sum(sizes.values())))
     counts = fit_counts(sample_by_class(known, "lang", "doc_id", per_lang), langs) + smoothing
     table = np.log(counts / counts.sum(axis=1, keepdims=True))
 
@@ -106,7 +109,7 @@ def identify_languages(
                     pred += ["und"] * len(texts)
                     score += [0.0] * len(texts)
                     continue
-                fit = np.stack([np.bincount(row, lang[slot], minlength=len(texts)) for lang in table], axis=1)
+                fit = np.stack([np.bincount(row, lang[slot], minlength=len(texts)) for lang in table], axis=1) + prior
                 best = fit.argmax(axis=1)
                 share = 1.0 / np.exp(np.maximum(fit - fit.max(axis=1, keepdims=True), -700.0)).sum(axis=1)
                 pred += [langs[b] if ok else "und" for b, ok in zip(best, has, strict=True)]
