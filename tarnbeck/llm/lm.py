@@ -135,11 +135,10 @@ def _heavy_counts(docs: DataFrame, keys: Keys, only: Heavy | None) -> DataFrame:
     return counts.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def find_heavy(docs: DataFrame, keys: Keys, share: int) -> tuple[Heavy, int]:
+def find_heavy(docs: DataFrame, keys: Keys) -> tuple[Heavy, int]:
     """Heavy words and bigrams with their exact counts, and the number of tokens. Candidates come
-    from one in `share` texts, which decides only how the rest is dealt; counts cover all texts."""
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(share)) == 0)
-    seen = stash(_heavy_counts(sample, keys, None), "heavy")
+    from all texts, at every size; counts cover all texts, too."""
+    seen = stash(_heavy_counts(docs, keys, None), "heavy")
     total = seen.filter("kind = 2").agg(F.sum("n")).head()[0] or 0
     often = seen.filter((F.col("kind") < 2) & (F.col("n") >= max(64, total // HEAVY))).toArrow()
     kind, key = often["kind"].to_numpy(), often["key"].to_numpy().view(np.uint64)
@@ -410,7 +409,7 @@ def backoff_scores(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("bytes")).head()[0] or 0
     keys = Keys(max(8, math.ceil(size / partition_bytes)))
-    heavy, tokens = find_heavy(rows, keys, share=16 if size > (64 << 20) else 1)
+    heavy, tokens = find_heavy(rows, keys)
     tokens = max(tokens, 1)
     noted = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
     sent = _send(noted, keys, heavy, tokens, min_count, alpha)
