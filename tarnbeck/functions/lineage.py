@@ -96,6 +96,11 @@ def model_version(name: str, data_snapshot: str, feature_version: str, labels: s
     )
 
 
+def short_hash(identifier: str) -> str:
+    """What logs show of an identifier."""
+    return _hex(identifier.encode(), 12)
+
+
 def git_revision() -> str | None:
     try:
         done = subprocess.run(["git", "rev-parse", "HEAD"], capture_output=True, text=True, timeout=10, check=True)

@@ -35,23 +35,32 @@ def normalise(bronze: DataFrame) -> DataFrame:
     )
 
 
+def _newest_first(rows: DataFrame) -> DataFrame:
+    """rows with __place, 1 for the newest of each order: by purchase, ingest, file, run, each
+    descending with nulls last, and by what else tells rows apart."""
+    order = [
+        F.col(c).desc_nulls_last()
+        for c in ("order_purchase_ts", "_bronze_ingest_ts", "_bronze_source_file", "_bronze_run_id", "customer_id", "order_status",
+                  "_bronze_source_fingerprint", "_bronze_schema_hash", *(x for x in ("_silver_ts", "_silver_run_id") if x in rows.columns))
+    ]
+    return rows.withColumn("__place", F.row_number().over(Window.partitionBy("order_id").orderBy(*order)))
+
+
+def newest(rows: DataFrame) -> DataFrame:
+    """The newest row of each order, of all that was ever seen of it."""
+    return _newest_first(rows).filter("__place = 1").drop("__place")
+
+
 def split_orders(bronze: DataFrame, allowed: list[str]) -> SilverParts:
     """Every row of bronze lands in one part. rejects have a null among the needed columns or a status
-    that isn't allowed. Of the others, the newest row of each order is kept: by purchase, ingest,
-    file, run, each descending with nulls last, and by what else tells rows apart. Rejects are set
+    that isn't allowed. Of the others, the newest row of each order is kept. Rejects are set
     apart first, so one never hides an older row that is valid."""
     rows = normalise(bronze)
     valid = F.col("order_status").isin(allowed)
     for name in NEEDED:
         valid = valid & F.col(name).isNotNull()
     valid = F.coalesce(valid, F.lit(False))
-    newest = [
-        F.col(c).desc_nulls_last()
-        for c in ("order_purchase_ts", "_bronze_ingest_ts", "_bronze_source_file", "_bronze_run_id", "customer_id", "order_status",
-                  "_bronze_source_fingerprint", "_bronze_schema_hash")
-    ]
-    place = F.row_number().over(Window.partitionBy("order_id").orderBy(*newest))
-    ranked = rows.filter(valid).withColumn("__place", place)
+    ranked = _newest_first(rows.filter(valid))
     return SilverParts(
         ranked.filter("__place = 1").drop("__place"), rows.filter(~valid), ranked.filter("__place > 1").drop("__place")
     )

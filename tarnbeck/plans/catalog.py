@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Callable
-from datetime import UTC, datetime
+from datetime import UTC, date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnbeck.functions.expressions import identifier_hash, label_at, order_status
-from tarnbeck.functions.lineage import data_snapshot_id, label_version, schema_digest
+from tarnbeck.functions.lineage import data_snapshot_id, label_version, model_version, schema_digest, snapshot_id, source_fingerprint
 from tarnbeck.operators import features, labels, model, quality, serving, silver, snapshot
 from tarnbeck.plans import stages
 from tarnbeck.sources import adapter
 from tarnbeck.sources.contracts import Contract
-from tarnbeck.sources.tables import AppendLog, VersionedTable, upsert
+from tarnbeck.sources.tables import AppendLog, VersionedTable, union_all, upsert
 from tarnbeck.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +33,25 @@ BRONZE = Contract.own("bronze_orders")
 ALLOWED = SILVER.allowed["order_status"]
 ALLOWED_SQL = ", ".join(f"'{s}'" for s in ALLOWED)
 
+#: The raw columns, all of them texts.
+RAW_COLUMNS = (
+    "order_id", "customer_id", "order_status", "order_purchase_timestamp", "order_approved_at", "order_delivered_carrier_date",
+    "order_delivered_customer_date", "order_estimated_delivery_date",
+)
+
+
+def _digest_sql(text: str, length: int = 16) -> str:
+    """A digest that DuckDB computes."""
+    return "substr(sha256('" + text.replace("'", "''") + f"'), 1, {length})"
+
+
+LABEL_VERSION_SQL = _digest_sql(
+    f'{{"entity":"customer_daily_snapshot","label_horizon_days":{HORIZON},"label_name":"churn_label",'
+    '"positive_class":"no valid future order in horizon","valid_future_order_invalid_statuses":["canceled","unavailable"],"version":1,'
+    '"window":"(as_of_date, as_of_date + horizon]"}'
+)
+GOLD_VERSION_SQL = _digest_sql(json.dumps(json.loads(Contract.own_text("gold_features")), sort_keys=True, separators=(",", ":")))
+
 # --- the same adapters in SQL ---
 RAW_SQL = """raw AS (
   SELECT 'O-' || o_orderkey AS order_id, 'C-' || o_custkey AS customer_id,
@@ -128,7 +148,7 @@ def _as_text(df: DataFrame) -> DataFrame:
 
 @query(
     f"WITH {RAW_SQL} SELECT *, 'r1' AS run_id, DATE '2001-09-01' AS ingest_date, (SELECT count(*) FROM raw) AS row_count, "
-    f"'{BRONZE.schema_hash}' AS schema_hash FROM raw"
+    f"{_digest_sql('|'.join(f'{n}:string' for n in RAW_COLUMNS))} AS schema_hash FROM raw"
 )
 def bronze_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = adapter.raw_orders(spark.read.parquet(f"{sf_dir}/orders.parquet"))
@@ -191,14 +211,45 @@ def pit_features_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(features.features_over(adapter.clean_silver(spark, sf_dir), DAYS))
 
 
-@query(f"""WITH {features_sql(DAYS)} SELECT
+@query(f"""WITH {DIRTY_SQL} SELECT {PARTS_SQL} FROM plain
+WHERE customer_id IN (SELECT customer_id FROM plain GROUP BY 1 HAVING count(*) > 1)""")
+def dq_unique_with_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without a customer share no key with each other."""
+    return _as_text(quality.rows_of_repeated_keys(silver.normalise(adapter.dirty_bronze(spark, sf_dir)), ["customer_id"]))
+
+
+@query(f"""WITH {features_sql(DAYS)}, made AS (SELECT *, CAST(customer_id AS BIGINT) % 50 AS n FROM feats), bad AS (
+  SELECT customer_id, as_of_date, CASE WHEN n = 2 THEN -1 ELSE recency_days END AS recency_days,
+    CASE WHEN n = 3 THEN orders_90d + 1 ELSE orders_30d END AS orders_30d, orders_90d, lifetime_orders, customer_tenure_days,
+    CASE WHEN n <> 1 THEN avg_days_between_orders END AS avg_days_between_orders
+  FROM made, (SELECT unnest([0, 1]) AS again) WHERE again = 0 OR n = 4)
+SELECT
   count(*) FILTER (customer_id IS NULL OR as_of_date IS NULL OR avg_days_between_orders IS NULL) AS null_rows,
   count(*) FILTER (recency_days < 0 OR orders_30d < 0 OR orders_90d < 0 OR lifetime_orders < 1 OR customer_tenure_days < 0) AS range_rows,
   count(*) FILTER (orders_30d > orders_90d OR orders_90d > lifetime_orders OR recency_days > customer_tenure_days) AS order_rows,
-  (SELECT count(*) FROM (SELECT 1 FROM feats GROUP BY customer_id, as_of_date HAVING count(*) > 1)) AS duplicate_keys FROM feats""")
+  (SELECT count(*) FROM (SELECT 1 FROM bad GROUP BY customer_id, as_of_date HAVING count(*) > 1)) AS duplicate_keys FROM bad""")
 def gold_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each kind of violation, planted by the customer's number, and counted by the contract."""
     made = features.stamp(features.features_over(adapter.clean_silver(spark, sf_dir), DAYS), GOLD.version, "r1", RUN_TS)
-    found = quality.assert_contract(made, GOLD)
+    quality.assert_contract(made, GOLD)
+    n = F.col("customer_id").cast("long") % 50
+    bad = made.unionByName(made.filter(n == 4)).withColumns(
+        {
+            "recency_days": F.when(n == 2, -1).otherwise(F.col("recency_days")), "orders_30d": F.when(n == 3, F.col("orders_90d") + 1).otherwise(F.col("orders_30d")),
+            "avg_days_between_orders": F.when(n != 1, F.col("avg_days_between_orders")),
+        }
+    )
+    found = quality.contract_metrics(bad, GOLD)
+    return spark.createDataFrame([tuple(found.values())], ", ".join(f"{k} long" for k in found))
+
+
+@query(f"""WITH {DIRTY_SQL}, dup AS (SELECT order_id FROM plain GROUP BY 1 HAVING count(*) > 1)
+SELECT count(*) FILTER (order_id IS NULL OR customer_id IS NULL OR ts IS NULL OR order_status IS NULL) AS null_rows,
+  count(*) FILTER (order_status NOT IN ({ALLOWED_SQL})) AS order_status_rows, (SELECT count(*) FROM dup) AS duplicate_keys FROM plain""")
+def silver_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silver's contract over rows that were not cleaned: nulls, a status out of its domain, repeated keys."""
+    rows = silver.stamp(silver.normalise(adapter.dirty_bronze(spark, sf_dir)), SILVER.version, "r1", RUN_TS)
+    found = quality.contract_metrics(rows, SILVER)
     return spark.createDataFrame([tuple(found.values())], ", ".join(f"{k} long" for k in found))
 
 
@@ -239,8 +290,8 @@ def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TRAINING_SQL = f"""{features_sql(DAYS)}, {labels_sql(DAYS)}, training AS (
-  SELECT feats.*, churn_label, substr(sha256(CAST(as_of_date AS VARCHAR) || '|{GOLD.version}'), 1, 16) AS _feature_snapshot_id,
-    '{GOLD.version}' AS _feature_version, '{label_version(HORIZON)}' AS _label_version, {HORIZON}::INTEGER AS _label_horizon_days
+  SELECT feats.*, churn_label, substr(sha256(CAST(as_of_date AS VARCHAR) || '|' || {GOLD_VERSION_SQL}), 1, 16) AS _feature_snapshot_id,
+    {GOLD_VERSION_SQL} AS _feature_version, {LABEL_VERSION_SQL} AS _label_version, {HORIZON}::INTEGER AS _label_horizon_days
   FROM feats JOIN lab USING (customer_id, as_of_date))"""
 
 
@@ -262,11 +313,16 @@ def time_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.agg(F.count("*").alias("row_count"), F.round(F.avg("churn_label"), 9).alias("positive_rate"))
 
 
-@query(f"""WITH {features_sql(DAYS)} SELECT * FROM feats WHERE (customer_id, as_of_date) IN (
+@query(f"""WITH {features_sql(DAYS)} SELECT * REPLACE (CAST(recency_days + CASE WHEN CAST(customer_id AS BIGINT) % 2 = 0 THEN 1000 ELSE 0 END AS INTEGER) AS recency_days)
+FROM feats WHERE (customer_id, as_of_date) IN (
   SELECT (customer_id, max(as_of_date)) FROM feats WHERE length(customer_id) % 3 <> 0 OR as_of_date < DATE '{AS_OF}' GROUP BY customer_id)""")
 def latest_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gold = features.stamp(_rounded(features.features_over(adapter.clean_silver(spark, sf_dir), DAYS)), GOLD.version, "r1", RUN_TS)
-    partly = gold.filter((F.length("customer_id") % 3 != 0) | (F.col("as_of_date") < AS_OF))
+    """Some customers have two rows of a day: the one that was made later counts."""
+    made = _rounded(features.features_over(adapter.clean_silver(spark, sf_dir), DAYS))
+    gold = features.stamp(made, GOLD.version, "r1", RUN_TS)
+    later = features.stamp(made.filter(F.col("customer_id").cast("long") % 2 == 0), GOLD.version, "r0", RUN_TS + timedelta(hours=1))
+    both = gold.unionByName(later.withColumn("recency_days", F.col("recency_days") + 1000))
+    partly = both.filter((F.length("customer_id") % 3 != 0) | (F.col("as_of_date") < AS_OF))
     return snapshot.latest_features(partly).select("customer_id", "as_of_date", *features.FEATURES)
 
 
@@ -308,17 +364,18 @@ FIXED_MODEL = model.LogisticModel(["recency_days", "orders_90d"], [100.0, 1.0],
 
 @query(f"""WITH {features_sql((AS_OF,))}, asked AS (
   SELECT CASE WHEN c_custkey % 10 = 0 THEN ' ' || c_custkey || ' ' WHEN c_custkey % 10 = 1 THEN '  ' ELSE CAST(c_custkey AS VARCHAR) END AS raw FROM customer
-), j AS (SELECT trim(raw) AS id, feats.* FROM asked LEFT JOIN feats ON trim(raw) = customer_id)
-SELECT id AS customer_id, CAST(CASE WHEN id = '' THEN 422 WHEN customer_id IS NULL THEN 404 ELSE 200 END AS INTEGER) AS status,
-  round(1 / (1 + exp(-(0.25 + 1.5 * (recency_days - 100.0) / 50.0 - 0.5 * (orders_90d - 1.0) / 2.0))), 9) AS churn_probability,
-  CAST(CASE WHEN customer_id IS NULL THEN NULL WHEN 0.25 + 1.5 * (recency_days - 100.0) / 50.0 - 0.5 * (orders_90d - 1.0) / 2.0 >= 0
+), j AS (SELECT trim(raw) AS id, feats.*, CAST(customer_id AS BIGINT) % 10 = 2 AS old FROM asked LEFT JOIN feats ON trim(raw) = customer_id)
+SELECT id AS customer_id, CAST(CASE WHEN id = '' THEN 422 WHEN customer_id IS NULL THEN 404 WHEN old THEN 503 ELSE 200 END AS INTEGER) AS status,
+  CASE WHEN NOT old THEN round(1 / (1 + exp(-(0.25 + 1.5 * (recency_days - 100.0) / 50.0 - 0.5 * (orders_90d - 1.0) / 2.0))), 9) END AS churn_probability,
+  CAST(CASE WHEN customer_id IS NULL OR old THEN NULL WHEN 0.25 + 1.5 * (recency_days - 100.0) / 50.0 - 0.5 * (orders_90d - 1.0) / 2.0 >= 0
     THEN 1 ELSE 0 END AS INTEGER) AS churn_label FROM j""")
 def batch_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey").cast("string")
     raw = F.when(F.col("c_custkey") % 10 == 0, F.concat(F.lit(" "), k, F.lit(" "))).when(F.col("c_custkey") % 10 == 1, "  ").otherwise(k)
     asked = spark.read.parquet(f"{sf_dir}/customer.parquet").select(raw.alias("customer_id"))
     gold = features.stamp(features.features_at(adapter.clean_silver(spark, sf_dir), AS_OF), GOLD.version, "r1", RUN_TS)
-    scored = serving.score_requests(asked, gold, FIXED_MODEL, GOLD.version)
+    version = F.when(F.col("customer_id").cast("long") % 10 == 2, "an older one").otherwise(F.col("_feature_version"))
+    scored = serving.score_requests(asked, gold.withColumn("_feature_version", version), FIXED_MODEL, GOLD.version)
     return scored.select("customer_id", "status", F.round("churn_probability", 9).alias("churn_probability"), "churn_label")
 
 
@@ -364,13 +421,16 @@ def stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {DIRTY_SQL}, {RANKED_SQL} SELECT order_id, customer_id, strftime(ts, '%Y-%m-%d') AS order_day, order_status FROM ranked WHERE place = 1""")
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Silver as a stream: each batch is refined and merged by order."""
+    """Silver as a stream, a file a batch: each is refined and merged by order. The later landings come
+    first, so the second batch holds rows that are older than those stored."""
     base = _scratch(spark)
-    adapter.dirty_bronze(spark, sf_dir).write.parquet(f"{base}/bronze")
+    bronze = adapter.dirty_bronze(spark, sf_dir)
+    for run in ("run-1", "run-0"):
+        bronze.filter(F.col("run_id") == run).coalesce(1).write.mode("append").parquet(f"{base}/bronze")
     table = VersionedTable(spark, f"{base}/silver", ["order_id"])
-    schema = spark.read.parquet(f"{base}/bronze").schema
     refine = lambda batch: silver.split_orders(batch, ALLOWED).kept
-    ingest.available_now(spark, f"{base}/bronze", schema, f"{base}/checkpoint", ingest.upsert_batches(table, refine))
+    sink = ingest.upsert_batches(table, refine, silver.newest)
+    ingest.available_now(spark, f"{base}/bronze", bronze.schema, f"{base}/checkpoint", sink, files_a_batch=1)
     return table.read().select("order_id", "customer_id", F.date_format("order_purchase_ts", "yyyy-MM-dd").alias("order_day"), "order_status")
 
 
@@ -390,3 +450,94 @@ def _snapshot_id(spark: SparkSession, sf_dir: str) -> str:
   || '","version":1}}'), 1, 16) AS data_snapshot_id FROM training""")
 def snapshot_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(_snapshot_id(spark, sf_dir),)], "data_snapshot_id string")
+
+
+@query(f"""SELECT 'success' AS status, (SELECT count(*) FROM orders) AS row_count, 1::INTEGER AS source_file_count, 'orders' AS dataset,
+  {_digest_sql('|'.join(f'{n}:string' for n in RAW_COLUMNS))} AS schema_hash, (SELECT count(*) FROM orders) AS bronze_rows
+UNION ALL SELECT 'skipped_already_ingested', 0, 1, 'orders', {_digest_sql('|'.join(f'{n}:string' for n in RAW_COLUMNS))}, (SELECT count(*) FROM orders)""")
+def ingest_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same raw files ingested twice: what the audit says, and how many rows bronze has."""
+    base = _scratch(spark)
+    adapter.raw_orders(spark.read.parquet(f"{sf_dir}/orders.parquet")).coalesce(1).write.parquet(f"{base}/raw")
+    for run in ("r1", "r2"):
+        stages.ingest(spark, f"{base}/raw", f"{base}/bronze", run)
+    audit = AppendLog(spark, f"{base}/bronze_audit").read(stages.AUDIT)
+    rows = stages.read_bronze(spark, f"{base}/bronze").count()
+    return audit.select("status", "row_count", "source_file_count", "dataset", "schema_hash", F.lit(rows).cast("long").alias("bronze_rows"))
+
+
+@query(f"""WITH {DIRTY_SQL}, {RANKED_SQL}, parts AS (
+  SELECT 'preclean_invalid' AS part, order_id, customer_id, ts, order_status FROM plain WHERE NOT coalesce({VALID_SQL}, false)
+  UNION ALL SELECT CASE WHEN place = 1 THEN 'published' ELSE 'duplicate_rejects' END, order_id, customer_id, ts, order_status FROM ranked)
+SELECT part, order_id, customer_id, strftime(ts, '%Y-%m-%d') AS order_day, order_status FROM parts""")
+def silver_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole stage from raw files on: what it publishes and what it sets apart in quarantine."""
+    base = _scratch(spark)
+    raw = adapter.dirty_bronze(spark, sf_dir).select(*(F.col(c) if c not in adapter.LATER else F.lit(None).cast("string").alias(c) for c in RAW_COLUMNS))
+    raw.write.parquet(f"{base}/raw")
+    stages.ingest(spark, f"{base}/raw", f"{base}/bronze", "b1")
+    stages.refine(spark, f"{base}/bronze", f"{base}/silver", "s1")
+    parts = {name: spark.read.parquet(f"{base}/silver_quarantine/s1/{name}") for name in ("preclean_invalid", "duplicate_rejects")}
+    parts["published"] = stages.silver_table(spark, f"{base}/silver").read()
+    return union_all([
+        df.select(F.lit(name).alias("part"), "order_id", "customer_id", F.date_format("order_purchase_ts", "yyyy-MM-dd").alias("order_day"), "order_status")
+        for name, df in parts.items()
+    ])
+
+
+@query(f"WITH {TRAINING_SQL} SELECT * FROM training WHERE as_of_date BETWEEN DATE '{DAYS[1]}' AND DATE '{DAYS[1]}' + 10")
+def training_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features with labels of a range of dates, both ends included."""
+    orders = adapter.clean_silver(spark, sf_dir)
+    gold = features.stamp(_rounded(features.features_over(orders, DAYS)), GOLD.version, "r1", RUN_TS)
+    known = labels.stamp(labels.labels_over(orders, DAYS, HORIZON), HORIZON, "r1", RUN_TS)
+    return snapshot.training_rows(gold, known, DAYS[1], "2001-05-10")
+
+
+@query(f"""WITH {CLEAN_SQL}, last AS (SELECT max(CAST(order_purchase_ts AS DATE)) AS dataset_end FROM silver)
+SELECT dataset_end - back AS as_of_date, dataset_end, dataset_end - back + {HORIZON} <= dataset_end AS observable
+FROM last, (SELECT unnest([0, 59, 60, 61, 400]) AS back)""")
+def observable_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which days' labels can be known: the horizon has to end by the last day of the data."""
+    end = labels.dataset_end(adapter.clean_silver(spark, sf_dir))
+
+    def observable(day: date) -> bool:
+        try:
+            labels.check_observable(end, day, HORIZON)
+        except RuntimeError:
+            return False
+        return True
+
+    days = [end - timedelta(days=back) for back in (0, 59, 60, 61, 400)]
+    return spark.createDataFrame([(d, end, observable(d)) for d in days], "as_of_date date, dataset_end date, observable boolean")
+
+
+@query(f"""SELECT 'model' AS what, {_digest_sql('{"algorithm":"logistic_regression","data_snapshot_id":"d0","feature_version":"f0","label_version":"l0","model_name":"m","random_state":42,"validation_fraction":0.2,"version":2}')} AS digest
+UNION ALL SELECT 'labels', {LABEL_VERSION_SQL} UNION ALL SELECT 'features', {GOLD_VERSION_SQL}
+UNION ALL SELECT 'files', {_digest_sql('[{"path":"hdfs://far/a.parquet"},{"path":"hdfs://far/b.parquet"}]')}
+UNION ALL SELECT 'raw columns', {_digest_sql('|'.join(f'{n}:string' for n in RAW_COLUMNS))}
+UNION ALL SELECT 'snapshot of 2001-05-31', substr(sha256('2001-05-31|' || {GOLD_VERSION_SQL}), 1, 16)""")
+def lineage_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digests that lineage rests on, each computed from its canonical text by the other side."""
+    found = {
+        "model": model_version("m", "d0", "f0", "l0", 0.2, 42), "labels": label_version(HORIZON), "features": GOLD.version,
+        "files": source_fingerprint(["hdfs://far/b.parquet", "hdfs://far/a.parquet"]), "raw columns": BRONZE.schema_hash,
+        "snapshot of 2001-05-31": snapshot_id("2001-05-31", GOLD.version),
+    }
+    return spark.createDataFrame(list(found.items()), "what string, digest string")
+
+
+@query("""SELECT * FROM (VALUES ('as it should be', ''), ('a column less', 'missing columns'), ('another type', 'is int, not string')) AS t(raw, refused)""")
+def raw_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is refused before it is ingested, and why."""
+    raw = adapter.raw_orders(spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    cases = {"as it should be": raw, "a column less": raw.drop("order_status"), "another type": raw.withColumn("order_id", F.lit(1))}
+    out = []
+    for name, df in cases.items():
+        try:
+            BRONZE.check_schema(df.schema)
+            out.append((name, ""))
+        except ValueError as e:
+            known = [x for x in ("missing columns", "is int, not string") if x in str(e)]
+            out.append((name, ", ".join(known) or str(e)))
+    return spark.createDataFrame(out, "raw string, refused string")

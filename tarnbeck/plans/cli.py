@@ -32,7 +32,7 @@ def parser() -> argparse.ArgumentParser:
     stage(
         "train", "training_snapshot_path", "out_model_path", "out_model_meta", feature_contract=None, evaluation_summary_path=None,
         approved_model_version_path=None, feature_schema_info_path=None, model_name="churn", validation_fraction=0.2,
-        random_state=42, data_snapshot_id=None, run_log_path=None,
+        random_state=42, data_snapshot_id=None, run_log_path=None, mlflow_tracking_uri=None, mlflow_experiment="churn",
     )
     stage("latest", "gold_path", "latest_features_path", manifest_path=None)
     return top
@@ -59,7 +59,7 @@ def main(argv: list[str] | None = None) -> int:
         out = stages.train(
             spark, a.training_snapshot_path, a.out_model_path, a.out_model_meta, a.run_id, a.model_name, a.validation_fraction, a.random_state,
             contract(a.feature_contract), a.evaluation_summary_path, a.approved_model_version_path, a.feature_schema_info_path,
-            a.data_snapshot_id, a.run_log_path,
+            a.data_snapshot_id, a.run_log_path, a.mlflow_tracking_uri, a.mlflow_experiment,
         )
     else:
         out = stages.export_latest(spark, a.gold_path, a.latest_features_path, a.run_id, a.manifest_path)

@@ -117,11 +117,12 @@ def refine(
         kept = silver.stamp(parts.kept, contract.version, run_id, now()).select(*contract.names).persist()
         try:
             found = quality.run_suite(kept, suite or own_suite())
-            files.write_json(report_path or f"{silver_path}_dq_reports/{run_id}.json", found.metrics)
+            facts = {"dataset": "orders", "layer": "silver", "version": contract.version}
+            files.write_json(report_path or f"{silver_path}_dq_reports/{run_id}.json", facts | found.metrics)
             if not found.passed:
                 files.write_failed(found.failed_frames, f"{aside}/dq_failed")
                 raise RuntimeError(f"silver quality gate: {[c['name'] for c in found.metrics['checks'] if not c['passed']]}")
-            silver_table(spark, silver_path).merge(kept)
+            silver_table(spark, silver_path).merge(kept, silver.newest)
         finally:
             kept.unpersist()
         done.update(row_count=found.metrics["row_count"])
@@ -218,6 +219,7 @@ def train(
     spark: SparkSession, snapshot_path: str, model_path: str, meta_path: str, run_id: str, name: str = "churn", fraction: float = 0.2,
     seed: int = 42, contract: Contract | None = None, summary_path: str | None = None, approved_path: str | None = None,
     schema_info_path: str | None = None, data_snapshot: str | None = None, run_log_path: str | None = None,
+    tracking_uri: str | None = None, experiment: str = "churn",
 ) -> dict[str, Any]:
     """Fit on the earlier days, measure on the later ones, and write the model with its lineage. A
     snapshot table with several data snapshots needs to be told which. seed only enters the version: the
@@ -234,14 +236,17 @@ def train(
             counts = {s: model.class_counts(df) for s, df in sides.items()}
             days = {r["split"]: r for r in rows.groupBy("split").agg(F.min("as_of_date").alias("lo"), F.max("as_of_date").alias("hi")).collect()}
             fitted = model.fit_logistic(sides["train"])
-            metrics = model.ranking_metrics(sides["validation"].withColumn("score", fitted.probability())).head().asDict()
+            found = model.ranking_metrics(sides["validation"].withColumn("score", fitted.probability())).head()
+            payload = lineage.schema_digest(rows.drop("split", "_data_snapshot_id", "_training_run_id", "_training_ts").schema)
         finally:
             rows.unpersist()
+        # Names of measures that dashboards match on.
+        metrics = {"pr_auc": found["average_precision"], "roc_auc": found["roc_auc"], "brier_score": found["brier"]}
         model_version = lineage.model_version(name, data_id, version, label, fraction, seed)
         meta = {
             "model_name": name, "model_version": model_version, "approved_model_version": model_version, "algorithm": "logistic_regression",
             "feature_columns": list(features.FEATURES), "feature_version": version, "feature_contract_hash": contract.version, "label_version": label,
-            "data_snapshot_id": data_id, "training_snapshot_path": snapshot_path, "validation_fraction": fraction, "random_state": seed,
+            "data_snapshot_id": data_id, "training_snapshot_path": snapshot_path, "training_snapshot_schema_hash": payload, "validation_fraction": fraction, "random_state": seed,
             "code_version": lineage.git_revision(), "run_id": run_id, "metrics": metrics,
         }
         for side, (negative, positive) in counts.items():
@@ -253,13 +258,46 @@ def train(
         files.write_json(meta_path, meta)
         files.write_json(approved_path, {k: meta[k] for k in ("approved_model_version", "model_name", "data_snapshot_id", "feature_version", "label_version")})
         files.write_json(schema_info_path, {k: meta[k] for k in ("feature_columns", "feature_version", "feature_contract_hash", "label_version", "data_snapshot_id")})
-        files.write_json(run_log_path, {"params": {"fraction": fraction, "seed": seed}, "metrics": metrics, "tags": {"model_version": model_version, "run_id": run_id}})
+        outputs = [model_path, meta_path, summary_path, approved_path, schema_info_path]
+        log_run(run_log_path, meta, metrics, [p for p in outputs if p], tracking_uri, experiment)
         lines = [f"# {name} {model_version}", "", *(f"- {k}: {v}" for k, v in (metrics | {k: meta[k] for k in sorted(meta) if "row_count" in k or "rate" in k}).items())]
         files.write_text(summary_path, "\n".join(lines) + "\n")
         done.update(metrics, model_version=model_version)
     return meta
 
 
+#: What a run log says of a run: tags name what was made, params what it was made from.
+_MADE = ("model_name", "algorithm", "model_version", "approved_model_version")
+_BY = ("model_name", "algorithm", "validation_fraction", "random_state", "train_row_count", "validation_row_count", "feature_contract_hash")
+_LINEAGE = ("data_snapshot_id", "feature_version", "label_version", "training_snapshot_schema_hash", "code_version")
+
+
+def log_run(path: str | None, meta: dict, metrics: dict, artifacts: list[str], tracking_uri: str | None = None, experiment: str = "churn") -> dict:
+    """One run as JSON: 9 tags, 12 parameters, 5 measures and the files made. With a tracking URI it goes
+    to that server as well, if its client can be imported here."""
+    known = meta | {"code_version": meta["code_version"] or "unknown"}
+    rates = {k: meta[k] for k in ("train_positive_rate", "validation_positive_rate")}
+    run = {
+        "run_name": f"{meta['model_name']}-{meta['data_snapshot_id']}", "experiment": experiment, "metrics": metrics | rates, "artifacts": artifacts,
+        "tags": {k: known[k] for k in (*_MADE, *_LINEAGE)}, "params": {k: known[k] for k in (*_BY, *_LINEAGE)},
+    }
+    files.write_json(path, run)
+    if tracking_uri:
+        try:
+            import mlflow
+        except ImportError as e:
+            raise RuntimeError("a tracking URI needs the mlflow client, which isn't installed") from e
+        mlflow.set_tracking_uri(tracking_uri)
+        mlflow.set_experiment(experiment)
+        with mlflow.start_run(run_name=run["run_name"]):
+            mlflow.set_tags(run["tags"])
+            mlflow.log_params(run["params"])
+            mlflow.log_metrics(run["metrics"])
+            for artifact in artifacts:
+                mlflow.log_artifact(artifact, artifact_path="artifacts")
+    return run
+
+
 def export_latest(spark: SparkSession, gold_path: str, latest_path: str, run_id: str, manifest_path: str | None = None) -> dict[str, Any]:
     """Each customer's latest features as plain Parquet, checked against the contract but for who
     made them when."""

@@ -44,11 +44,29 @@ class Contract:
 
     @classmethod
     def parse(cls, spec: dict) -> Contract:
+        """A contract in this package's layout, or in that of contract files with `contract_name` and a
+        map of columns; the version is the digest of the file as it stands."""
+        if "contract_name" in spec:
+            return cls._from_map(spec)
         return cls(
             spec["name"], spec["key"], [tuple(c) for c in spec["columns"]], digest(spec), spec.get("optional", []),
             spec.get("allowed", {}), spec.get("least", {}), [tuple(p) for p in spec.get("ordered", [])],
         )
 
+    @classmethod
+    def _from_map(cls, spec: dict) -> Contract:
+        """Columns are {name: {type, nullable, min_value}}; orderings are texts such as "a <= b"."""
+        columns = spec["columns"]
+        order = spec.get("required_columns", [])
+        names = [*(n for n in order if n in columns), *(n for n in columns if n not in order)]
+        rules = spec.get("quality_rules", {})
+        ordered = [tuple(x.strip() for x in rule.split("<=")) for rule in rules.get("ordering_rules", [])]
+        least = {n: columns[n]["min_value"] for n in names if "min_value" in columns[n]}
+        return cls(
+            spec["contract_name"], spec.get("primary_key", []), [(n, columns[n]["type"]) for n in names], digest(spec),
+            [n for n in names if columns[n].get("nullable", True)], spec.get("allowed_values", {}), least, ordered,
+        )
+
     @classmethod
     def load(cls, path: str) -> Contract:
         with open(path, encoding="utf-8") as f:
@@ -57,7 +75,12 @@ class Contract:
     @classmethod
     def own(cls, name: str) -> Contract:
         """A contract that comes with the package."""
-        return cls.parse(json.loads(resources.files("tarnbeck").joinpath(f"contracts/{name}.json").read_text("utf-8")))
+        return cls.parse(json.loads(cls.own_text(name)))
+
+    @staticmethod
+    def own_text(name: str) -> str:
+        """The file of a contract that comes with the package."""
+        return resources.files("tarnbeck").joinpath(f"contracts/{name}.json").read_text("utf-8")
 
     @property
     def names(self) -> list[str]:

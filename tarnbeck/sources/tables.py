@@ -4,12 +4,17 @@ A table is a folder of immutable part folders and a manifest that says which of
 A commit writes new part folders, then replaces the manifest in one rename, so a reader sees the old
 table or the new one and a failed writer leaves nothing behind that is read. Rows are dealt to parts
 by a partition column or by a hash of the key; an upsert rewrites only the parts that the new rows
-fall into. One writer at a time. Files go through Hadoop's file systems, so any store will do."""
+fall into. Hash parts are as many as the rows ask for, and the table is dealt anew when it has outgrown
+them. A writer that finds another's version at the end fails and publishes nothing. Files go through
+Hadoop's file systems, so any store will do."""
 
 from __future__ import annotations
 
 import json
+import math
+import time
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,11 +23,19 @@ from pyspark.sql.types import StructType
 
 PART = "__part"
 MANIFEST = "_manifest.json"
+#: Rows that a hash part is made for; a table that has GROWN times as many in each is dealt anew.
+ROWS_A_BUCKET = 1 << 20
+GROWN = 4
+
+
+class ConcurrentWrite(RuntimeError):
+    """Another writer has published a version since this one began."""
 
 
 class VersionedTable:
     def __init__(self, spark: SparkSession, path: str, key: list[str], partition: str | None = None, buckets: int = 16) -> None:
-        self.spark, self.path, self.key, self.partition, self.buckets = spark, path.rstrip("/"), key, partition, buckets
+        self.spark, self.path, self.key, self.partition = spark, path.rstrip("/"), key, partition
+        self.buckets = self.least_buckets = buckets
 
     def _hadoop(self):
         jvm = self.spark._jvm
@@ -40,8 +53,11 @@ class VersionedTable:
         finally:
             stream.close()
 
-    def _publish(self, manifest: dict) -> None:
+    def _publish(self, manifest: dict, before: dict | None) -> None:
         jvm, conf, file, fs = self._hadoop()
+        if ((self._manifest() or {}).get("version")) != (before or {}).get("version"):
+            raise ConcurrentWrite(f"{self.path} has changed since this write began")
+        manifest = {"version": uuid.uuid4().hex, "buckets": self.buckets} | manifest
         draft = jvm.org.apache.hadoop.fs.Path(f"{self.path}/.{MANIFEST}-{uuid.uuid4().hex}")
         stream = fs.create(draft, True)
         stream.write(bytearray(json.dumps(manifest, indent=2, sort_keys=True).encode()))
@@ -71,31 +87,58 @@ class VersionedTable:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*folders)
 
-    def _write(self, df: DataFrame) -> dict[str, str]:
-        """Write df as new part folders: {part: folder}."""
+    def _write(self, df: DataFrame) -> tuple[dict[str, str], dict[str, int]]:
+        """Write df as new part folders: {part: folder}, {part: rows}."""
         version = f"v-{uuid.uuid4().hex}"
         placed = df.withColumn(PART, self._part_of())
         # one task for a small part, as many as its size asks for of a large one
         placed.hint("rebalance", PART).write.partitionBy(PART).parquet(f"{self.path}/{version}")
-        found = self.spark.read.parquet(f"{self.path}/{version}").select(F.col(PART).cast("string")).distinct()
-        return {r[0]: f"{version}/{PART}={r[0]}" for r in found.collect()}
+        found = self.spark.read.parquet(f"{self.path}/{version}").groupBy(F.col(PART).cast("string").alias(PART)).count().collect()
+        return {r[0]: f"{version}/{PART}={r[0]}" for r in found}, {r[0]: r[1] for r in found}
 
     def overwrite(self, df: DataFrame) -> None:
-        self._publish({"schema": df.schema.jsonValue(), "parts": self._write(df) if not df.isEmpty() else {}})
-
-    def merge(self, source: DataFrame) -> None:
-        """Rows of source replace those of the same key, the others stay. Two rows of source with one
-        key are an error, before anything is written."""
+        """Replace all rows; hash parts are as many as df asks for."""
+        before = self._manifest()
+        size = df.count()
+        self.buckets = max(self.least_buckets, math.ceil(size / ROWS_A_BUCKET))
+        parts, rows = self._write(df) if size else ({}, {})
+        self._publish({"schema": df.schema.jsonValue(), "parts": parts, "rows": rows}, before)
+
+    def merge(self, source: DataFrame, choose: Callable[[DataFrame], DataFrame] | None = None) -> None:
+        """Rows of source replace those of the same key, the others stay; or choose picks among both, one
+        row of each key. Two rows of source with one key are an error, before anything is written."""
         if not source.groupBy(*self.key).count().filter("count > 1").isEmpty():
             raise ValueError(f"several rows of the source have one key ({', '.join(self.key)})")
         manifest = self._manifest()
         if manifest is None:
             return self.overwrite(source)
+        self.buckets = manifest.get("buckets", self.buckets)
         touched = [r[0] for r in source.select(self._part_of()).distinct().collect()]
         if not touched:
             return None
-        after = upsert(self.read(touched).select(*source.columns), source, self.key)
-        return self._publish({"schema": source.schema.jsonValue(), "parts": manifest["parts"] | self._write(after)})
+        old = self.read(touched).select(*source.columns)
+        parts, rows = self._write(choose(old.unionByName(source)) if choose else upsert(old, source, self.key))
+        rows = manifest.get("rows", {}) | rows
+        self._publish({"schema": source.schema.jsonValue(), "parts": manifest["parts"] | parts, "rows": rows}, manifest)
+        if not self.partition and sum(rows.values()) > GROWN * self.buckets * ROWS_A_BUCKET:
+            self.overwrite(self.read())
+        return None
+
+    def remove_dead_parts(self, older_than_s: float = 7 * 86400) -> list[str]:
+        """Delete version folders that the manifest doesn't name and that were not touched for so long;
+        a reader of an old version has that much time to finish."""
+        jvm, _, _, fs = self._hadoop()
+        manifest = self._manifest()
+        if manifest is None:
+            return []
+        alive = {d.split("/")[0] for d in manifest["parts"].values()}
+        dead = []
+        for status in fs.listStatus(jvm.org.apache.hadoop.fs.Path(self.path)):
+            name = status.getPath().getName()
+            if name.startswith("v-") and name not in alive and time.time() - status.getModificationTime() / 1000 >= older_than_s:
+                fs.delete(status.getPath(), True)
+                dead.append(name)
+        return dead
 
 
 def upsert(target: DataFrame, source: DataFrame, key: list[str]) -> DataFrame:

@@ -11,11 +11,15 @@ from tarnbeck.sources.tables import AppendLog, VersionedTable
 
 
 def available_now(
-    spark: SparkSession, source: str, schema: StructType, checkpoint: str, sink: Callable[[DataFrame, int], None], pattern: str | None = None
+    spark: SparkSession, source: str, schema: StructType, checkpoint: str, sink: Callable[[DataFrame, int], None], pattern: str | None = None,
+    files_a_batch: int | None = None,
 ) -> None:
-    """Run all files that the stream hasn't seen through sink, then stop. The checkpoint remembers what
-    was seen; a batch that is run again after a crash has the same number."""
+    """Run all files that the stream hasn't seen through sink, then stop; in batches of so many files, if
+    that is given. The checkpoint remembers what was seen; a batch that is run again after a crash has
+    the same number."""
     reader = spark.readStream.schema(schema)
+    if files_a_batch:
+        reader = reader.option("maxFilesPerTrigger", files_a_batch)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     stream = reader.parquet(source)
@@ -28,6 +32,18 @@ def append_batches(log: AppendLog) -> Callable[[DataFrame, int], None]:
     return lambda batch, number: log.append(batch, f"{number:012d}")
 
 
-def upsert_batches(table: VersionedTable, refine: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A sink that merges what refine makes of each batch; merging again changes nothing."""
-    return lambda batch, number: table.merge(refine(batch))
+def upsert_batches(
+    table: VersionedTable, refine: Callable[[DataFrame], DataFrame], choose: Callable[[DataFrame], DataFrame] | None = None
+) -> Callable[[DataFrame, int], None]:
+    """A sink that merges what refine makes of each batch; merging again changes nothing. choose picks
+    one row of each key among the batch's and the table's, as a late row may be older than the one
+    that is stored; without it the batch's row replaces it."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        made = refine(batch).persist()
+        try:
+            table.merge(made, choose)
+        finally:
+            made.unpersist()
+
+    return sink

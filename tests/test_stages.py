@@ -1,5 +1,6 @@
 import json
 import os
+import re
 import threading
 import urllib.error
 import urllib.request
@@ -67,6 +68,12 @@ def test_published_tables(spark, base):
     assert all(os.path.exists(f"{base}/{f}") for f in ("summary.md", "approved.json", "info.json", "run.json"))
 
 
+def test_run_log(base):
+    run = read_json(f"{base}/run.json")
+    assert (len(run["tags"]), len(run["params"]), len(run["metrics"]), len(run["artifacts"])) == (9, 12, 5, 5)
+    assert run["metrics"].keys() >= {"pr_auc", "roc_auc", "brier_score"} and run["tags"]["training_snapshot_schema_hash"] == read_json(f"{base}/meta/t.json")["payload_schema_hash"]
+
+
 def test_reruns_change_nothing(spark, base):
     before = {r.customer_id: r.recency_days for r in stages.gold_table(spark, f"{base}/gold").read(["2025-01-31"]).collect()}
     stages.build_features(spark, f"{base}/silver", f"{base}/gold", "2025-01-31", "again")
@@ -94,7 +101,8 @@ def test_wrong_raw_schema_is_refused(spark, tmp_path):
         stages.ingest(spark, f"{tmp_path}/raw", f"{tmp_path}/bronze", "r")
 
 
-def test_service(base):
+def test_service(base, caplog):
+    caplog.set_level("INFO")
     stores = service.Stores(f"{base}/latest", f"{base}/model.json", f"{base}/meta/m.json", f"{base}/approved.json")
     http = service.server(stores, port=0)
     threading.Thread(target=http.serve_forever, daemon=True).start()
@@ -119,6 +127,8 @@ def test_service(base):
         assert call("/metrics")[1]["predictions_total"] == 1
         assert call("/version")[1]["model_version"] == read_json(f"{base}/meta/m.json")["model_version"]
         assert call("/no")[0] == 404
+        (scored,) = (json.loads(r.message) for r in caplog.records if "prediction_scored" in r.message)
+        assert re.fullmatch(r"[0-9a-f]{12}", scored["customer_id_hash"]) and "cust_0001" not in json.dumps(scored)
     finally:
         http.shutdown()
 

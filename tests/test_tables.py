@@ -1,8 +1,10 @@
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
-from tarnbeck.sources.tables import AppendLog, VersionedTable, upsert
+from tarnbeck.sources import tables
+from tarnbeck.sources.tables import AppendLog, ConcurrentWrite, VersionedTable, upsert
 
 SCHEMA = "k long, d date, v string"
 
@@ -71,3 +73,37 @@ def test_append_log_replaces_a_batch_that_is_written_again(spark, tmp_path):
     for batch, row in (("x", (1, 1, "a")), ("y", (2, 2, "b")), ("x", (1, 1, "a"))):
         log.append(frame(spark, row), batch, "d")
     assert content(log.read(schema)) == [(1, 1, "a"), (2, 2, "b")]
+
+
+def test_choose_keeps_a_newer_row(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"), ["k"], buckets=2)
+    newest = lambda rows: rows.groupBy("k").agg(F.max(F.struct("d", "v")).alias("m")).select("k", "m.d", "m.v")
+    table.merge(frame(spark, (1, 9, "march"), (2, 1, "old")), newest)
+    table.merge(frame(spark, (1, 2, "january"), (2, 5, "new"), (3, 1, "first")), newest)
+    assert content(table.read()) == [(1, 9, "march"), (2, 5, "new"), (3, 1, "first")]
+
+
+def test_a_writer_that_was_overtaken_publishes_nothing(spark, tmp_path):
+    one, two = (VersionedTable(spark, str(tmp_path / "t"), ["k"]) for _ in range(2))
+    one.overwrite(frame(spark, (1, 1, "a")))
+
+    def meanwhile(rows):
+        two.merge(frame(spark, (2, 2, "b")))
+        return rows.dropDuplicates(["k"])
+
+    with pytest.raises(ConcurrentWrite):
+        one.merge(frame(spark, (3, 3, "c")), meanwhile)
+    assert content(one.read()) == [(1, 1, "a"), (2, 2, "b")]
+
+
+def test_dead_parts_go_and_buckets_grow(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "ROWS_A_BUCKET", 4)
+    table = VersionedTable(spark, str(tmp_path / "t"), ["k"], buckets=1)
+    table.merge(frame(spark, (1, 1, "a")))
+    table.merge(frame(spark, *((i, 1, "b") for i in range(2, 40))))
+    manifest = table._manifest()
+    assert manifest["buckets"] == 10 and sum(manifest["rows"].values()) == 39 and len(content(table.read())) == 39
+    assert len(table.remove_dead_parts(0)) == 2 and table.remove_dead_parts(0) == [] and len(content(table.read())) == 39
+    again = VersionedTable(spark, str(tmp_path / "t"), ["k"], buckets=1)
+    again.merge(frame(spark, (5, 2, "c")))
+    assert len(content(again.read())) == 39
