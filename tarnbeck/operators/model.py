@@ -8,6 +8,7 @@ from dataclasses import asdict, dataclass
 from datetime import date
 
 import numpy as np
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,7 +16,7 @@ from pyspark.sql.window import Window
 from tarnbeck.operators.features import FEATURES
 
 #: Bins of the score whose totals are summed before scores are ranked inside them.
-BINS = 4096
+BINS = 1024
 
 
 def split_days(days: list[date], fraction: float) -> tuple[list[date], list[date]]:
@@ -105,15 +106,25 @@ def fit_logistic(train: DataFrame, features: tuple[str, ...] = FEATURES, c: floa
     return LogisticModel(list(features), means, scales, [float(b) for b in beta])
 
 
+def _in_bins(steps: DataFrame) -> DataFrame:
+    """steps with column bin, ascending in s. The cuts are quantiles of the distinct scores, so that
+    a bin holds its share of them however close together they lie; they are BINS numbers at most."""
+    shares = [i / BINS for i in range(1, BINS)]
+    cuts = steps.agg(F.percentile_approx("s", shares, 16 * BINS)).head()[0] or []
+    splits = [-math.inf, *sorted({0.5, *cuts}), math.inf]
+    return Bucketizer(splits=splits, inputCol="s", outputCol="bin", handleInvalid="keep").transform(steps)
+
+
 def ranking_metrics(scored: DataFrame, score: str = "score", label: str = "churn_label") -> DataFrame:
     """One row: average_precision, roc_auc, brier, over scores in [0, 1]; rows of one score are one step.
 
-    Equal scores are summed first. Running totals need all higher scores: the score's range is cut
-    into BINS bins whose totals are a table of BINS rows at most; ranks are then taken inside bins."""
-    steps = scored.groupBy(F.col(score).alias("s")).agg(
+    Equal scores are summed first. Running totals need all higher scores: the distinct scores are cut
+    into about BINS bins of equal size, whose totals are a small table; ranks are then taken inside bins."""
+    steps = scored.groupBy(F.col(score).cast("double").alias("s")).agg(
         F.sum(F.col(label).cast("long")).alias("tp"), F.count("*").alias("n"),
         F.sum(F.pow(F.col(score) - F.col(label), 2)).alias("sq"),
-    ).withColumn("bin", F.least(F.floor(F.col("s") * BINS), F.lit(BINS - 1)).cast("int"))
+    )
+    steps = _in_bins(steps)
     above = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
     totals = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     bins = steps.groupBy("bin").agg(F.sum("tp").alias("btp"), F.sum("n").alias("bn")).select(

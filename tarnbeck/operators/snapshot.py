@@ -6,7 +6,6 @@ from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tarnbeck.operators.features import FEATURES
 
@@ -42,8 +41,6 @@ def bounds(df: DataFrame) -> DataFrame:
 
 def latest_features(gold: DataFrame) -> DataFrame:
     """Each customer's last row: by day, then time of the run, then snapshot id, nulls last."""
-    last = Window.partitionBy("customer_id").orderBy(
-        F.col("as_of_date").desc_nulls_last(), F.col("_gold_ts").desc_nulls_last(), F.col("_snapshot_id").desc_nulls_last(),
-        F.col("_gold_run_id").desc_nulls_last(),
-    )
-    return gold.withColumn("__n", F.row_number().over(last)).filter("__n = 1").drop("__n")
+    newest = F.struct("as_of_date", "_gold_ts", "_snapshot_id", "_gold_run_id")  # a null field comes before all values
+    found = gold.groupBy("customer_id").agg(F.max_by(F.struct(*gold.columns), newest).alias("row"))
+    return found.select("row.*")

@@ -43,6 +43,21 @@ def test_metrics_with_ties_against_numpy(spark):
     assert (got.average_precision, got.roc_auc, got.brier) == pytest.approx((ap, auc, np.mean((s - y) ** 2)))
 
 
+def test_metrics_of_scores_that_lie_close_together(spark):
+    rng = np.random.default_rng(5)
+    s = np.concatenate([1 - rng.random(3000) * 1e-9, rng.random(200)])
+    y = rng.integers(0, 2, len(s))
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(s, y)], "score double, churn_label int")
+    got = model.ranking_metrics(df).head()
+    order = np.argsort(-s)
+    tp = np.cumsum(y[order])
+    ap = (y[order] * tp / np.arange(1, len(s) + 1)).sum() / y.sum()
+    auc = (s[y == 1][:, None] > s[y == 0]).mean()
+    assert (got.average_precision, got.roc_auc) == pytest.approx((ap, auc), rel=1e-9)
+    bins = model._in_bins(df.select(df.score.alias("s"))).groupBy("bin").count()
+    assert bins.agg({"count": "max"}).head()[0] < 0.02 * len(s)
+
+
 def test_split_days():
     days = [date(2025, m, 1) for m in (3, 1, 2)]
     assert model.split_days(days, 0.34) == ([date(2025, 1, 1)], [date(2025, 2, 1), date(2025, 3, 1)])
