@@ -44,7 +44,9 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.backoff_scores(read(spark, sf_dir, "documents"))
+    """Every document's tokens and scores, rounded to what does not depend on the order of sums."""
+    scored = lm.backoff_scores(read(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "tokens", F.round("log_score", 4).alias("log_score"), F.round("score", 6).alias("score"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +74,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html": op10_html,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_lm": r"""
+        WITH texts AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '(?:[0-9a-z]|[^\x00-\x7f])+') AS words
+            FROM documents
+        ),
+        places AS (SELECT r, words, unnest(range(1, len(words) + 1)) AS i FROM texts),
+        tokens AS (SELECT r, words[i] AS w, CASE WHEN i > 1 THEN words[i - 1] END AS before FROM places),
+        unigrams AS (SELECT w, count(*) AS n FROM tokens GROUP BY w),
+        bigrams AS (SELECT before, w, count(*) AS n FROM tokens WHERE before IS NOT NULL GROUP BY before, w HAVING count(*) >= 2),
+        total AS (SELECT sum(n) AS n FROM unigrams),
+        scored AS (
+            SELECT t.r, CASE WHEN t.before IS NULL THEN ln(u.n / total.n) WHEN b.n IS NOT NULL THEN ln(b.n / c.n)
+                ELSE ln(0.4 * u.n / total.n) END AS s
+            FROM tokens t CROSS JOIN total JOIN unigrams u ON u.w = t.w
+            LEFT JOIN unigrams c ON c.w = t.before LEFT JOIN bigrams b ON b.before = t.before AND b.w = t.w
+        ),
+        sums AS (SELECT r, sum(s) AS s FROM scored GROUP BY r)
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS tokens, round(coalesce(s, 0.0), 4) AS log_score, round(s / len(words), 6) AS score
+        FROM texts LEFT JOIN sums USING (r)
+    """,
+}

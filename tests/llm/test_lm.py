@@ -2,9 +2,10 @@ import math
 import re
 from collections import Counter
 
+import duckdb
 import pytest
 
-from tarnbeck.llm import lm
+from tarnbeck.llm import lm, queries
 
 SCHEMA = "doc_id long, text string, part int, run string"
 
@@ -48,3 +49,12 @@ def test_odd_rows(spark):
     assert all(r.score is None for r in lm.backoff_scores(df).filter("tokens = 0").collect())
     assert lm.backoff_scores(spark.createDataFrame([], SCHEMA)).count() == 0
     assert lm.backoff_scores(df.filter("doc_id in (2, 3)")).count() == 2
+
+
+def test_query_against_sql(spark, sf_dir):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    got = queries.op7_lm(spark, sf_dir)
+    ran = con.execute(queries.ORACLE_SQL["op7_lm"])
+    assert [d[0] for d in ran.description] == got.columns
+    assert sorted(map(tuple, got.collect())) == sorted(ran.fetchall())
