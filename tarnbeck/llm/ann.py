@@ -108,8 +108,8 @@ def _best(
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(length of each query's list, loss, id, row) of the k best rows of a block for each query, by
     (loss, id, row). Products of whole matrices may round in another way, so every row that could be
-    among the k best within the rounding error, however many tie there, is summed again in an order
-    that is the same wherever a pair is met."""
+    among the k best within the rounding error, however many tie there, is summed again from first
+    component to last."""
     scores = queries @ base.T
     if k < scores.shape[1]:
         edge = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
@@ -118,7 +118,9 @@ def _best(
     else:
         found = np.ones(scores.shape, bool)
     query, at = np.nonzero(found)
-    loss = np.concatenate([-(queries[query[s : s + 65536]] * base[at[s : s + 65536]]).sum(axis=1) for s in range(0, len(query), 65536)] or [np.empty(0)])
+    loss = np.concatenate(
+        [np.empty(0), *(-np.cumsum(queries[query[s : s + 8192]] * base[at[s : s + 8192]], axis=1)[:, -1] for s in range(0, len(query), 8192))]
+    )
     order = np.lexsort((rows[at], ids[at], loss, query))
     query, at, loss = query[order], at[order], loss[order]
     first = np.searchsorted(query, np.arange(len(queries)))

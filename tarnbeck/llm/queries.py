@@ -75,6 +75,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_ann": """
+        WITH base AS (
+            SELECT row_number() OVER () AS r, CAST(vec_id AS BIGINT) AS vec_id, CAST(embedding AS DOUBLE[]) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND len([x for x in embedding if x <> 0]) > 0
+                AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+        ),
+        pairs AS (
+            SELECT q.r, q.vec_id AS query_id, b.vec_id, b.r AS other, list_inner_product(q.v, b.v) AS score
+            FROM base q JOIN base b ON q.r <> b.r AND len(q.v) = len(b.v)
+            WHERE q.vec_id % 20 = 0
+        ),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id, other) AS place FROM pairs)
+        SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE place <= 20
+    """,
     "op7_lm": r"""
         WITH texts AS (
             SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '(?:[0-9a-z]|[^\x00-\x7f])+') AS words

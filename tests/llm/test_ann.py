@@ -1,8 +1,9 @@
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarnbeck.llm import ann
+from tarnbeck.llm import ann, queries
 
 SCHEMA = "vec_id long, embedding array<float>, found string, vec string"
 
@@ -101,3 +102,12 @@ def test_hilbert_index_is_a_walk():
     order = cells[np.argsort(ann.hilbert_index(cells, 3))]
     assert len(set(ann.hilbert_index(cells, 3).tolist())) == side * side
     assert (np.abs(np.diff(order, axis=0)).sum(axis=1) == 1).all()
+
+
+def test_query_against_sql(spark, sf_dir):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf_dir}/embeddings.parquet'")
+    got = queries.op1_ann(spark, sf_dir)
+    ran = con.execute(queries.ORACLE_SQL["op1_ann"])
+    assert [d[0] for d in ran.description] == got.columns
+    assert sorted(map(tuple, got.collect())) == sorted(ran.fetchall())
