@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .tables import stash
+from .tables import join_hot, stash
 from .textbits import Texts, Words, find_words, fold_case, mix, pair, text_runs
 
 #: A cut's hash is compared with so many words on either side; a unit has 2 * REACH + 1 words on
@@ -196,8 +196,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rank = F.coalesce(F.col(id_col).cast("long"), nameless)
     plain = docs.select(rank.alias("doc_id"), F.col(text_col).alias("text"))
     table = stash(piece_table(plain.filter("text is not null and text <> ''"), min_words, min_line), "pieces")
-    first = table.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last")
-    later = table.join(first.select("digest", "first"), "digest").filter("doc_id <> first")
+    met = table.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    first = met.filter("first <> last").select("digest", "first", "n")
+    later = join_hot(table, first, "digest", "n", table.count()).filter("doc_id <> first")
     seen = later.groupBy("doc_id").agg(F.collect_set("digest").alias("seen"))
     whole = docs.select(rank.alias("doc_id"), F.struct("*").alias("whole")).join(seen, "doc_id", "left")
     rows = whole.select("whole", F.col("whole").getField(text_col).alias("text"), F.coalesce("seen", F.array().cast("array<bigint>")).alias("seen"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import components
-from .tables import stash
+from .tables import join_hot, stash
 
 HALF = 32
 #: Buckets with more fingerprints than this go to the path for hot buckets, which is as exact.
@@ -246,19 +246,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the two named are not read.
     """
     prints = stash(fingerprints(docs, id_col, text_col), "fingerprints")
-    named = _leasts(prints, F.col("doc_id"), hot).select("fp", F.col("least").alias("component_id"))
-    return prints.join(named, "fp").select(
+    named = _leasts(prints, F.col("doc_id"), hot).select("fp", F.col("least").alias("component_id"), "n")
+    return join_hot(prints, named, "fp", "n", prints.count()).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def _leasts(prints: DataFrame, rank: Column, hot: int) -> DataFrame:
-    """(fp, least): for each fingerprint the smallest rank in its component, nulls aside."""
-    nodes = stash(prints.groupBy("fp").agg(F.min(rank).alias("least")), "nodes")
+    """(fp, least, n): for each fingerprint the smallest rank in its component, nulls aside, and the number of its rows."""
+    nodes = stash(prints.groupBy("fp").agg(F.min(rank).alias("least"), F.count("*").alias("n")), "nodes")
     roots = components(simhash_links(nodes.select("fp"), hot)).withColumnRenamed("node", "fp")
-    rooted = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("least"))
-    return rooted.select("fp", "root").join(smallest, "root").select("fp", "least")
+    rooted = nodes.join(roots, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("least"), F.count("*").alias("size"))
+    return join_hot(rooted.select("fp", "n", "root"), smallest, "root", "size", nodes.count()).select("fp", "least", "n")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT_BUCKET) -> DataFrame:

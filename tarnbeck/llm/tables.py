@@ -9,11 +9,14 @@ from collections.abc import Iterable
 
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows that a Parquet reader and an Arrow batch hold at most in registered queries. Arrow batches are
 #: bounded by bytes as well, by Spark's own default.
 READER_ROWS = 512
 BATCH_ROWS = 2048
+#: A key with over this part of all rows is a hot one; so there are fewer of them than that.
+HOT_PART = 65536
 
 _made: list[str] = []
 _cleaned: set[str] = set()
@@ -64,6 +67,17 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_hot(rows: DataFrame, side: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """rows joined to side by a key, without the column count: side has one row for each key, and count
+    says how many of rows have it, of total in all. The fewer than HOT_PART rows of side whose keys are
+    hot are broadcast, so rows of a hot key stay where they are; all others are dealt by their key."""
+    hot = F.col(count) * HOT_PART > total
+    often = F.broadcast(side.filter(hot).drop(count).withColumn("_hot", F.lit(True)))
+    tried = rows.join(often, key, "left")
+    cold = tried.filter("_hot is null").select(*rows.columns).join(side.filter(~hot).drop(count), key)
+    return tried.filter("_hot").drop("_hot").unionByName(cold)
+
+
 def mark() -> int:
     """How many tables were stashed so far."""
     return len(_made)
