@@ -256,9 +256,9 @@ def _leasts(prints: DataFrame, rank: Column, hot: int) -> DataFrame:
     """(fp, least, n): for each fingerprint the smallest rank in its component, nulls aside, and the number of its rows."""
     nodes = stash(prints.groupBy("fp").agg(F.min(rank).alias("least"), F.count("*").alias("n")), "nodes")
     roots = components(simhash_links(nodes.select("fp"), hot)).withColumnRenamed("node", "fp")
-    rooted = nodes.join(roots, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    rooted = stash(nodes.join(roots, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "rooted")
     smallest = rooted.groupBy("root").agg(F.min("least").alias("least"), F.count("*").alias("size"))
-    return join_hot(rooted.select("fp", "n", "root"), smallest, "root", "size", nodes.count()).select("fp", "least", "n")
+    return stash(join_hot(rooted.select("fp", "n", "root"), smallest, "root", "size", rooted.count()).select("fp", "least", "n"), "leasts")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT_BUCKET) -> DataFrame:
